@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloutlens.llm import decontaminate, line_dedup, packing, quality, token_counts, token_files, url_filter
+from rolloutlens.llm import decontaminate, jaccard_join, line_dedup, packing, quality, token_counts, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 #: The fixed rules of the query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -47,5 +51,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter)}
 ORACLES: dict[str, str] = {}
