@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloutlens.llm import decontaminate, jaccard_join, line_dedup, packing, quality, token_counts, token_files, url_filter
+from rolloutlens.llm import decontaminate, jaccard_join, line_dedup, packing, quality, suffix_dedup, token_counts, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
