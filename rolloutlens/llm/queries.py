@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloutlens.llm import decontaminate, jaccard_join, line_dedup, packing, quality, suffix_dedup, token_counts, token_files, url_filter
+from rolloutlens.llm import decontaminate, jaccard_join, line_dedup, lm_scores, packing, quality, suffix_dedup, token_counts, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores.lm_scores(table(spark, sf_dir, "documents"))
+    used = [F.col("used")[k].alias(name) for k, name in enumerate(("n_unigram", "n_bigram", "n_trigram"))]
+    return scored.select("doc_id", "n_words", *used, F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,5 +62,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op4_lm_scores, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
