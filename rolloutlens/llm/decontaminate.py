@@ -44,6 +44,8 @@ class ItemIndex:
         out: set[tuple[int, int]] = set()
         offsets = np.cumsum(lengths) - lengths
         full = np.flatnonzero(lengths)
+        if not len(full):
+            return out
         for size, (keys, members) in self.classes.items():
             blocks = -(-lengths[full] // size)
             owner = np.repeat(full, blocks)

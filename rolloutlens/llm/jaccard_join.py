@@ -68,7 +68,8 @@ def common_shingles(docs: DataFrame, partitions: int) -> dict[int, int]:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
                 rows = [(p, (values[at] & _LOW).astype("<u4").tobytes(), counts[at].astype("<u4").tobytes()) for p, at in _by_partition(values, partitions)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["p", "low", "count"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["p", "low", "count"])
 
         for batch in slices(batches):
             held += [shingle_set(x) for x in as_bytes(batch.column("text"))]

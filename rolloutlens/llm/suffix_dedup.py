@@ -92,6 +92,8 @@ def _batch_pieces(docs: DataFrame, partitions: int) -> DataFrame:
             fp = np.concatenate([x for x, _, _ in held])
             did, th = (np.repeat(np.array(x, np.int64), [len(f) for f, _, _ in held]) for x in list(zip(*held, strict=True))[1:])
             held.clear()
+            if not len(fp):
+                return
             order = np.lexsort((th, did, fp))
             fp, did, th = fp[order], did[order], th[order]
             first = np.append(True, fp[1:] != fp[:-1])
@@ -123,6 +125,8 @@ def _scan_and_merge(merged: tuple[int, ...]):
         if not at:
             return _packed(rows)
         fp, did, th = map(np.concatenate, parts)
+        if not len(fp):
+            return _packed(rows)
         lengths = [len(x) for x in parts[0]]
         new = np.repeat([columns["kind"][k] == "new" for k in at], lengths)
         kept = np.repeat([columns["kind"][k] == "new" or columns["rank"][k] in merged for k in at], lengths)
