@@ -27,6 +27,8 @@ from rolloutlens.llm.common import drop_files, id_and_text, mix, real_id, slices
 LENGTH, ANCHOR = 100, 32
 #: Anchors in a hash partition, and window starts of a text worked on at a time.
 PARTITION, SEGMENT = 1_000_000, 4 << 20
+#: An anchor stands for some 35 windows, so their hash partitions are smaller by this factor.
+WINDOWS_EACH = 8
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -264,7 +266,7 @@ def repeated_ranges(docs: DataFrame, batches: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["did", "th", "fp"])
 
     wanted = shared.select("did", "th", "fp").mapInArrow(unpack, "did long, th long, fp long").groupBy("did", "th").agg(F.collect_set("fp").alias("fps"))
-    windows = _window_pieces(docs.join(wanted, ["did", "th"]), partitions)
+    windows = _window_pieces(docs.join(wanted, ["did", "th"]), WINDOWS_EACH * partitions)
     ranges = windows.groupBy("q").applyInArrow(_repeats, "did long, th long, start long, end long")
     done = written(ranges.groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeats")
     drop_files(docs.sparkSession, *tables)
