@@ -5,6 +5,7 @@ Words are the maximal runs of bytes other than space and 0x09-0x0D, which is wha
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +63,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more, instead of at its next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def real_id(column: str = "did") -> F.Column:
     return F.nullif(F.col(column), F.lit(NULL_ID))
 

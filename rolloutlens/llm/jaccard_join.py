@@ -6,13 +6,12 @@ of the first n - T + 1 shingles of both. Short lists are merged by grouping post
 are probed by binary search in its sorted set, which counts the exact overlap.
 
 Equal sets become one node, so copies cost nothing more. Links are looked for in two rounds. In the first, each node is held against
-the list owner it meets most often, which joins families of near copies with one probe a node. In the second, all nodes that still meet
+the three list owners it meets most often, which joins families of near copies with few probes a node. In the second, all nodes that still meet
 in a list from different components are held against each other; pairs inside a component need no test. So no link between components is missed.
 """
 
 from __future__ import annotations
 
-import gc
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloutlens.llm.common import as_bytes, drop_files, id_and_text, real_id, shingle_set, slices, written
+from rolloutlens.llm.common import as_bytes, drop_files, id_and_text, real_id, release_shuffles, shingle_set, slices, written
 from rolloutlens.llm.components import components
 
 #: Shingles in one hash partition; shingles in this many texts or more are ordered by how many, as far as MOST_COMMON of them fit.
@@ -208,6 +207,18 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     return left.withColumnRenamed("node", "a").join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link(percent)).select("a", "b").distinct()
 
 
+def _best_owners(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): for each node, of the smallest, largest and an arbitrary but fixed node of its lists, the ones that it meets most often."""
+    entry = F.struct("n", "node", "pos")
+    owners = lists.groupBy("shingle").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.min_by(entry, F.xxhash64("node")).alias("any"))
+    met = lists.join(owners, "shingle").select(
+        F.col("node").alias("a"), "n", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("o")) for k, c in enumerate(("low", "high", "any"))])).alias("e")
+    ).select("a", "n", "pos", "e.k", F.col("e.o.node").alias("b"), F.col("e.o.n").alias("m"), F.col("e.o.pos").alias("qos"))
+    hits = met.where((F.col("a") != F.col("b")) & _may_link(percent)).groupBy("a", "k", "b").agg(F.count("*").alias("hits"))
+    best = hits.groupBy("a", "k").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: texts link when 100 * intersection >= percent * union of their five-word shingle sets.
 
@@ -220,13 +231,10 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     partitions = max(12, -(-total // PARTITION))
     order = Order(common_shingles(docs, partitions), partitions)
     lists = written(short_lists(docs, order, partitions, percent), "lists")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what is written above can go
+    release_shuffles(spark)
     sets = written(_node_sets(docs, signs, lists), "sets")
-    first = lists.groupBy("shingle").agg(F.min(F.struct("n", "node", "pos")).alias("o"))
-    met = lists.join(first, "shingle").where(F.col("node") != F.col("o.node")).select(F.col("node").alias("a"), "n", "pos", F.col("o.node").alias("b"), F.col("o.n").alias("m"), F.col("o.pos").alias("qos"))
-    hits = met.where(_may_link(percent)).groupBy("a", "b").agg(F.count("*").alias("hits"))
-    best = hits.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+    release_shuffles(spark)
+    best = _best_owners(lists, percent)
     links = written(_probed(best, sets, percent), "links")
     labels = components(links)
     more = written(_probed(_cross_pairs(lists, labels, percent), sets, percent), "links")
