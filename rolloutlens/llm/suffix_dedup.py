@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloutlens.llm.common import drop_files, id_and_text, mix, real_id, slices, written
+from rolloutlens.llm.common import drop_files, id_and_text, mix, new_path, real_id, release_shuffles, slices, written
 
 #: Bytes of a string that counts as repeated, and of the anchor inside it.
 LENGTH, ANCHOR = 100, 32
@@ -148,10 +148,10 @@ def _scan_and_merge(merged: tuple[int, ...]):
 
 
 class SuffixFamily:
-    """Levels by rank; ``add`` takes the next batch and returns its shared anchors, packed."""
+    """Levels by rank; ``add`` takes the next batch and returns its shared anchors, packed. Levels are deleted as soon as nothing reads them."""
 
     def __init__(self, partitions: int):
-        self.partitions, self.levels = partitions, {}
+        self.partitions, self.levels, self.paths = partitions, {}, {}
 
     def add(self, docs: DataFrame) -> DataFrame:
         merged = []
@@ -160,12 +160,22 @@ class SuffixFamily:
         rows = _batch_pieces(docs, self.partitions)
         for level in self.levels.values():
             rows = rows.unionAll(level)
-        found = written(rows.groupBy("p").applyInArrow(_scan_and_merge(tuple(merged)), _PACKED), "suffixes")
+        spark, path = docs.sparkSession, new_path(docs.sparkSession, "suffixes")
+        rows.groupBy("p").applyInArrow(_scan_and_merge(tuple(merged)), _PACKED).write.partitionBy("kind").parquet(path)
+        found = spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
         for rank in merged:
-            del self.levels[rank]
-        self.levels[len(merged)] = found.where("kind = 'level'")
+            self._drop(spark, rank)
+        self.levels[len(merged)], self.paths[len(merged)] = found.where("kind = 'level'"), f"{path}/kind=level"
         return found.where("kind = 'shared'")
 
+    def _drop(self, spark: SparkSession, rank: int) -> None:
+        del self.levels[rank]
+        drop_files(spark, self.paths.pop(rank))
+
+    def close(self, spark: SparkSession) -> None:
+        for rank in list(self.levels):
+            self._drop(spark, rank)
+
 
 _WINDOWS = "kind string, q int, fp binary, did binary, th binary, first binary, count binary, body binary"
 
@@ -257,8 +267,10 @@ def repeated_ranges(docs: DataFrame, batches: int = 3) -> DataFrame:
     for a, b in zip(edges, edges[1:], strict=False):
         part = docs.where(F.col("did") > a) if a is not None else docs
         found = family.add(part.where(F.col("did") <= b) if b is not None else part)
+        release_shuffles(docs.sparkSession)
         tables.append(found)
         shared = found if shared is None else shared.unionAll(found)
+    family.close(docs.sparkSession)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,6 +282,7 @@ def repeated_ranges(docs: DataFrame, batches: int = 3) -> DataFrame:
     ranges = windows.groupBy("q").applyInArrow(_repeats, "did long, th long, start long, end long")
     done = written(ranges.groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeats")
     drop_files(docs.sparkSession, *tables)
+    release_shuffles(docs.sparkSession)
     return done
 
 
