@@ -5,20 +5,27 @@ in one order, rarest shingles first. DivideSkip sets the T - 1 longest inverted
 of the first n - T + 1 shingles of both. Short lists are merged by grouping postings in hash partitions; a candidate's remaining, long lists
 are probed by binary search in its sorted set, which counts the exact overlap.
 
-Equal sets become one node, so copies cost nothing more. Links are looked for in two rounds. In the first, each node is held against
-the three list owners it meets most often, which joins families of near copies with few probes a node. In the second, all nodes that still meet
-in a list from different components are held against each other; pairs inside a component need no test. So no link between components is missed.
+Equal sets become one node, so copies cost nothing more. Links are looked for in rounds. In the first, each node is held against
+the three list owners it meets most often, which joins families of near copies with few probes a node. In the second, lists that still mix
+components each name four nodes, and a node is held against the most similar of those it meets outside its component; this costs rows in proportion
+to the lists, however large a family is. In the third, all nodes that still meet from different components are held against each other;
+pairs inside a component need no test. So no link between components is missed.
+
+Similarity is judged first by parity sketches: each shingle flips one of SKETCH_BITS bits, so the bits in which two sketches differ are never
+more than the shingles in which the sets do. A pair whose sketches differ in more bits than a link allows can't link.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolloutlens.llm.common import as_bytes, drop_files, id_and_text, real_id, release_shuffles, shingle_set, slices, written
@@ -26,6 +33,8 @@ from rolloutlens.llm.components import components
 
 #: Shingles in one hash partition; shingles in this many texts or more are ordered by how many, as far as MOST_COMMON of them fit.
 PARTITION, COMMON_AT, MOST_COMMON = 2_000_000, 8, 400_000
+#: Bits of a node's parity sketch, in whole longs, and the most similar owners that a node is held against in the second round.
+SKETCH_BITS, NEAREST = 512, 4
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -33,6 +42,12 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes()), "little", signed=True)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits as longs: how often, odd or even, a shingle falls on each bit."""
+    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _by_partition(values: np.ndarray, partitions: int) -> Iterator[tuple[int, np.ndarray]]:
     """Runs of sorted 64-bit ``values`` by their upper half modulo the number of partitions: (partition, positions)."""
     part = ((values >> np.uint64(32)) % np.uint64(partitions)).astype(np.int64)
@@ -164,15 +179,17 @@ def short_lists(docs: DataFrame, order: Order, partitions: int, percent: int) ->
 
 
 def _node_sets(docs: DataFrame, signs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(node, shingles) for the nodes of ``lists``, from one text each."""
+    """(node, shingles, sketch) for the nodes of ``lists``, from one text each."""
     owners = signs.join(lists.select("node").distinct(), "node").groupBy("node").agg(F.min("did").alias("did")).select("did").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = {_node(s): s.tobytes() for s in map(shingle_set, as_bytes(batch.column("text"))) if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "shingles"])
+            found = {_node(s): s for s in map(shingle_set, as_bytes(batch.column("text"))) if len(s)}
+            columns = [pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary()), pa.array([sketch(s) for s in found.values()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "sketch"])
 
-    return id_and_text(docs).join(owners, "did", "left_semi").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = id_and_text(docs).join(owners, "did", "left_semi").mapInArrow(sets, "node long, shingles binary, sketch array<long>")
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
 def _probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,13 +215,46 @@ def _may_link(percent: int):
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")) >= need)
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes that meet in a short list from different components."""
+def _differ() -> F.Column:
+    """Bits in which the two sketches of a meeting differ."""
+    return reduce(add, [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("other_sketch", F.lit(k)))) for k in range(SKETCH_BITS // 64)])
+
+
+def _may_link_outside(percent: int) -> F.Column:
+    """What a meeting must pass to be probed: another component, sizes and places, and sketches as near as a link needs."""
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
+    return (F.col("component") != F.col("other")) & _may_link(percent) & (_differ() <= F.col("n") + F.col("m") - 2 * need)
+
+
+def _mixed(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of lists that hold nodes of different components, with component and sketch."""
     rows = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    left = rows.join(mixed, "shingle")
-    right = left.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("other"))
-    return left.withColumnRenamed("node", "a").join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link(percent)).select("a", "b").distinct()
+    return rows.join(mixed, "shingle").join(sets.select("node", "sketch"), "node")
+
+
+_OTHERS = {"node": "b", "n": "m", "pos": "qos", "component": "other", "sketch": "other_sketch"}
+
+
+def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of nodes that meet in a short list from different components and may link."""
+    right = mixed.select("shingle", *[F.col(c).alias(to) for c, to in _OTHERS.items()])
+    return mixed.withColumnRenamed("node", "a").join(right, "shingle").where((F.col("a") < F.col("b")) & _may_link_outside(percent)).select("a", "b").distinct()
+
+
+def _nearest_owners(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): for each node the NEAREST most similar, by sketch, of four nodes that each of its lists names, outside its component.
+
+    A list names the nodes with the smallest and the largest of two hashes of shingle and node, so different lists name different ones.
+    """
+    entry = F.struct(*_OTHERS)
+    named = [pick(entry, F.xxhash64("shingle", "node", F.lit(k))) for k in range(2) for pick in (F.min_by, F.max_by)]
+    owners = mixed.groupBy("shingle").agg(F.array_distinct(F.array(*named)).alias("named")).select("shingle", F.explode("named").alias("o"))
+    met = mixed.withColumnRenamed("node", "a").join(owners.select("shingle", *[F.col(f"o.{c}").alias(to) for c, to in _OTHERS.items()]), "shingle")
+    near = met.where(_may_link_outside(percent)).select("a", "b", _differ().alias("d")).distinct()
+    turn = Window.partitionBy("a").orderBy("d", "b")
+    near = near.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= NEAREST)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _best_owners(lists: DataFrame, percent: int) -> DataFrame:
@@ -237,10 +287,14 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     best = _best_owners(lists, percent)
     links = written(_probed(best, sets, percent), "links")
     labels = components(links)
-    more = written(_probed(_cross_pairs(lists, labels, percent), sets, percent), "links")
-    both = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    drop_files(spark, sets, lists, links, more, labels)
-    named = signs.join(both, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    drop_files(spark, links)
+    for candidates in (_nearest_owners, _cross_pairs):
+        mixed = written(_mixed(lists, labels, sets), "mixed")
+        more = written(_probed(candidates(mixed, percent), sets, percent), "links")
+        known, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        drop_files(spark, mixed, more, known)
+    drop_files(spark, sets, lists)
+    named = signs.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.where("n > 0").groupBy("component").agg(F.min(real_id()).alias("component_id"))
     joined = named.join(smallest, "component", "left")
     return joined.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real_id()).alias("component_id"))
