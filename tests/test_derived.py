@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from rolloutlens.plans import derived
+from rolloutlens.plans import derived, entities
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(derived.QUERIES))
+@pytest.mark.parametrize("name", sorted(derived.QUERIES | entities.QUERIES))
 def test_derived_equals_sql(spark, con, name):
     import __spark_entry__ as entry
 
@@ -27,3 +27,11 @@ def test_derived_equals_sql(spark, con, name):
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda df: sorted(tuple(str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_entity_names_of_odd_texts(spark):
+    rows = [(1, "Boyd's dog saw Ross, boyd and Amy. NASA paid Boyds!"), (2, None), (3, ""), (4, "On Monday Al met Al"), (4, "Jo")]
+    got = entities.entity_names(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as names", "1 as w"))
+    found = sorted((r["doc_id"], tuple(r["names"])) for r in got.collect())
+    assert found == [(1, ("Boyd", "Ross", "Amy")), (2, ()), (3, ()), (4, ("Al",)), (4, ("Jo",))]
+    assert entities.entity_names(spark.createDataFrame([], "doc_id long, text string")).count() == 0
