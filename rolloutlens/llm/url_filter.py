@@ -1,8 +1,9 @@
 """URL filter: rules first, then a naive Bayes over the words of host and path.
 
 Concatenated host names are split by a unigram Viterbi whose word counts come from all pages' visible text. The substrings of each distinct
-label are looked up in the counts by a join, so no vocabulary is broadcast. The classifier is multinomial naive Bayes with add-one
-smoothing, trained on all pages that a rule or a seed word labels; its counts and scores are joins and sums.
+label are looked up in the counts by a join, so no vocabulary is broadcast. The classifier is multinomial naive Bayes, trained on all pages that no rule fits: those with a seed word in the host against all others. Ruled pages are in neither
+class, or the words that the rules name would carry the verdict. Each class gets one extra count a token on average, dealt by the tokens'
+overall shares, so that a rare token doesn't speak for the smaller class and an unknown one says nothing. Counts and scores are joins and sums.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolloutlens.llm.common import written
+
 LONGEST_WORD = 20
 #: Words that mark a host as blocked in training, wherever they stand in it.
 SEEDS = ("casino", "pills", "bets", "spam", "ads")
@@ -77,12 +80,8 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     return ready.mapInPandas(split, "label string, words array<string>")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """(page_id, host, path, rule, verdict, host_words) for each row of ``pages``.
-
-    A page that no rule fits gets the classifier's verdict: block if its log odds are above 0. Null urls have an empty host and path and
-    are judged by the prior; null html adds no words; repeated rows come out each.
-    """
+def marked_names(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...]) -> DataFrame:
+    """(host, path, pages, host_words, path_words, rule, block) for distinct host and path. block, the class, is 1 with a seed word in the host and else 0; null if a rule fits."""
     urls = parsed(pages)
     names = urls.groupBy("host", "path").agg(F.count("*").alias("pages"))
     labels = names.select("host").distinct().select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("place", "label")).where("label <> ''")
@@ -93,20 +92,43 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...]
     named = names.join(hosts, "host", "left").select("host", "path", "pages", F.coalesce("host_words", empty).alias("host_words"), path_words.alias("path_words"))
     rule = rule_column(rules, F.col("host"), F.col("path"))
     seeded = reduce(Column.__or__, [F.array_contains("host_words", s) for s in seeds], F.lit(False))
-    marked = named.withColumn("rule", rule).withColumn("block", F.when(seeded, 1).otherwise(F.when(F.col("rule.verdict") == "block", 1).when(F.col("rule.verdict") == "allow", 0)))
-    tokens = F.explode(F.concat(F.transform("host_words", lambda x: F.concat(F.lit("h:"), x)), F.transform("path_words", lambda x: F.concat(F.lit("p:"), x)))).alias("token")
-    trained = marked.where("block is not null")
-    per_token = trained.select("block", "pages", tokens).groupBy("token").agg(F.sum(F.when(F.col("block") == 1, F.col("pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block") == 0, F.col("pages")).otherwise(0)).alias("a"))
+    return named.withColumn("rule", rule).withColumn("block", F.when(F.col("rule").isNull(), seeded.cast("int")))
+
+
+def log_odds(train: DataFrame, names: DataFrame, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """(host, path, log_odds) of ``names`` by a model of ``train``, both as in marked_names; ``hidden`` host words of ``names`` don't count."""
+    tokens = lambda words: F.explode(F.concat(F.transform(words, lambda x: F.concat(F.lit("h:"), x)), F.transform("path_words", lambda x: F.concat(F.lit("p:"), x)))).alias("token")
+    trained = train.where("block is not null")
+    per_token = trained.select("block", "pages", tokens(F.col("host_words"))).groupBy("token").agg(F.sum(F.when(F.col("block") == 1, F.col("pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block") == 0, F.col("pages")).otherwise(0)).alias("a"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     sums = per_token.agg(zero(F.sum("b")).alias("tb"), zero(F.sum("a")).alias("ta"), F.count("*").alias("v"))
     priors = trained.agg(zero(F.sum(F.when(F.col("block") == 1, F.col("pages")))).alias("nb"), zero(F.sum(F.when(F.col("block") == 0, F.col("pages")))).alias("na"))
     one = sums.crossJoin(priors)  # one row each
-    odds = lambda b, a: F.log((b + 1) / (F.col("tb") + F.col("v") + 1)) - F.log((a + 1) / (F.col("ta") + F.col("v") + 1))
-    model = per_token.crossJoin(one).select("token", odds(F.col("b"), F.col("a")).alias("odds"))
-    unseen = one.select(odds(F.lit(0), F.lit(0)).alias("unseen"), F.log((F.col("nb") + 1) / (F.col("na") + 1)).alias("prior"))
-    scores = marked.select("host", "path", tokens).join(model, "token", "left").groupBy("host", "path").agg(F.sum("odds").alias("odds"), F.count_if(F.col("odds").isNull()).alias("new"))
-    log_odds = F.col("prior") + zero(F.col("odds")) + zero(F.col("new")) * F.col("unseen")
-    known = marked.join(scores, ["host", "path"], "left").crossJoin(unseen).select(
-        "host", "path", F.col("rule.rule").alias("rule"), F.coalesce(F.col("rule.verdict"), F.when(log_odds > 0, "block").otherwise("allow")).alias("verdict"), "host_words"
+    share = F.col("v") * (F.col("b") + F.col("a")) / (F.col("tb") + F.col("ta"))  # of v extra counts a class
+    odds = F.log((F.col("b") + share) / (F.col("tb") + F.col("v"))) - F.log((F.col("a") + share) / (F.col("ta") + F.col("v")))
+    model = per_token.crossJoin(one).select("token", odds.alias("odds"))
+    prior = one.select(F.log((F.col("nb") + 1) / (F.col("na") + 1)).alias("prior"))
+    seen = F.array_except("host_words", F.array(*map(F.lit, hidden))) if hidden else F.col("host_words")
+    scores = names.select("host", "path", tokens(seen)).join(model, "token", "left").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    return names.select("host", "path").join(scores, ["host", "path"], "left").crossJoin(prior).select("host", "path", (F.col("prior") + zero(F.col("odds"))).alias("log_odds"))
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, folds: int = 5, hide: bool = False) -> DataFrame:
+    """(block, verdict, pages): pages without a rule by class and verdict, each host judged by a model of the other folds' hosts; ``hide`` takes the seed words out of the judged hosts."""
+    names = written(marked_names(pages, rules, seeds), "url-names").where("block is not null").withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+    parts = [log_odds(names.where(F.col("fold") != k), names.where(F.col("fold") == k), seeds if hide else ()) for k in range(folds)]
+    judged = names.join(reduce(DataFrame.unionAll, parts), ["host", "path"])
+    return judged.groupBy("block", F.when(F.col("log_odds") > 0, "block").otherwise("allow").alias("verdict")).agg(F.sum("pages").alias("pages"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """(page_id, host, path, rule, verdict, host_words) for each row of ``pages``.
+
+    A page that no rule fits gets the classifier's verdict: block if its log odds are above 0. Null urls have an empty host and path and
+    are judged by the prior; null html adds no words; repeated rows come out each.
+    """
+    marked = marked_names(pages, rules, seeds)
+    known = marked.join(log_odds(marked, marked), ["host", "path"]).select(
+        "host", "path", F.col("rule.rule").alias("rule"), F.coalesce(F.col("rule.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "host_words"
     )
-    return urls.join(known, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "host_words")
+    return parsed(pages).join(known, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "host_words")

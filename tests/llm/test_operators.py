@@ -247,3 +247,16 @@ def test_url_filter(spark):
 def test_host_words():
     counts = {"cheap": 50, "pills": 30, "che": 1, "app": 9, "ills": 2}
     assert url_filter.viterbi("cheappills", counts, 1000) == ["cheap", "pills"]
+
+
+def test_url_classifier_does_not_learn_the_rules(spark):
+    rng = random.Random(4)
+    urls = [f"http://{rng.choice('abcdefgh')}{rng.choice('stuvw')}.example.{tld}/{lang}/{rng.randrange(900)}" for tld in ("com", "net", "org") for lang in ("en", "de", "es", "fr") for _ in range(60)]
+    urls += [f"http://{word}-win.example.{tld}/{lang}/{rng.randrange(900)}" for word in ("casino", "pills", "bets") for tld in ("com", "net", "org") for lang in ("en", "de", "es", "fr") for _ in range(3)] + ["http://ab-win.example.net/en/5"]
+    rules = [("allow", "org/"), ("block", "example.org/es/"), ("allow", "com/fr/"), ("block", "com/de/")]
+    made = spark.createDataFrame([(i, u, "<p>win casino pills bets</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    free = [r for r in url_filter.judge(made, rules).collect() if r["rule"] is None]
+    assert {r["verdict"] for r in free if "win" not in r["host_words"]} == {"allow"}  # plain hosts under /de/, /es/ and com
+    assert {r["verdict"] for r in free if "win" in r["host_words"]} == {"block"}  # one of them has no seed word
+    counts = {(r["block"], r["verdict"]): r["pages"] for r in url_filter.held_out(made, rules).collect()}
+    assert sum(counts.values()) == len(free) and counts[0, "allow"] >= 60 * 6
