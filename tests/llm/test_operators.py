@@ -260,3 +260,18 @@ def test_url_classifier_does_not_learn_the_rules(spark):
     assert {r["verdict"] for r in free if "win" in r["host_words"]} == {"block"}  # one of them has no seed word
     counts = {(r["block"], r["verdict"]): r["pages"] for r in url_filter.held_out(made, rules).collect()}
     assert sum(counts.values()) == len(free) and counts[0, "allow"] >= 60 * 6
+
+
+def test_quality_rules_are_on_in_small_strata(spark):
+    columns = "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+    made = [(stratum, 100, 500, 0, 0, 10, 0) for stratum, n in (("es", 310), ("fr", 500), ("en", 3000), ("de", 200)) for _ in range(n)]
+    limits = {r["stratum"]: r for r in quality.cutoffs(spark.createDataFrame(made, columns)).collect()}
+    assert limits["es"]["symbols"] == limits["fr"]["symbols"] == 2 and limits["es"]["dup_lines"] == 50
+    assert "de" not in limits  # 200 documents can't show 2 %
+
+
+def test_quality_union_is_tested(spark):
+    columns = "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+    rows = [("en", 100, 500, 400 * (i < 20), 9 * (20 <= i < 40), 10, 0) for i in range(2000)]  # 1 % each at any cutoff, 2 % together
+    limits = quality.cutoffs(spark.createDataFrame(rows, columns)).first()
+    assert limits["symbols"] == 2 and limits["dup_lines"] is None
