@@ -1,6 +1,10 @@
-"""Removal of multi-line chunks that repeat anywhere in the corpus.
+"""Removal of multi-line passages that repeat anywhere in the corpus.
 
-A rolling hash over the hashes of neighbouring lines chooses where a chunk ends, so a passage is cut alike wherever it
+``passage_dedup`` takes each run of lines with exactly two that hold a word, so a passage of two lines or more is found wherever it
+stands: all its windows repeat. Windows whose 64-bit key repeats are compared byte for byte; of equal windows the first, by doc_id and
+place, stays. Any longer match against an earlier copy is the union of its windows.
+
+``line_dedup`` is the coarser form by whole chunks. A rolling hash over the hashes of neighbouring lines chooses where a chunk ends, so a passage is cut alike wherever it
 stands. Chunks of two lines or more whose 128-bit key repeats are compared byte for byte; of equal chunks the first, by doc_id and
 place, stays. Keys are counted with partial sums, so that a very common chunk costs each task one row.
 """
@@ -95,3 +99,67 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     schema = "other " + rows.schema["other"].dataType.simpleString() + ", text string, n_lines long, n_removed_lines long, n_removed_chunks long"
     done = cut.mapInArrow(_cut, schema)
     return done.select(*[F.col("other")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def windows(lines: list[bytes]) -> list[tuple[int, int]]:
+    """[first, end) of the runs that start and end with a line that holds a word and have LEAST_LINES of them."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return [(a, b + 1) for a, b in zip(full, full[LEAST_LINES - 1 :], strict=False)]
+
+
+def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        for did, th, text in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            lines = text.split(b"\n")
+            bounds = windows(lines)
+            if bounds:
+                keys = np.fromiter((xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])) for a, b in bounds), np.uint64, len(bounds)).view(np.int64)
+                arrays = [pa.array(np.full(len(bounds), x, np.int64)) for x in (did, th)] + [pa.array(np.array([a for a, _ in bounds], np.int32)), pa.array(keys)]
+                yield pa.RecordBatch.from_arrays(arrays, ["did", "th", "first", "key"])
+
+
+def _window_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out = []
+        for did, th, text, firsts in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("firsts").to_pylist(), strict=True):
+            lines, wanted = text.split(b"\n"), set(firsts)
+            out += [(did, th, a, b, b"\n".join(lines[a:b])) for a, b in windows(lines) if a in wanted]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["did", "th", "first", "end", "body"])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts, counts = [], []
+        for text, gone in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            lines = text.split(b"\n") if text else []
+            cut = np.zeros(len(lines) + 1, bool)
+            for w in gone or ():
+                cut[w["first"] : w["end"]] = True
+            texts.append(b"\n".join([x for x, c in zip(lines, cut.tolist(), strict=False) if not c]))
+            counts.append((len(lines), int(cut.sum()), int((cut[1:] < cut[:-1]).sum())))
+        total, lost, runs = (pa.array(x, pa.int64()) for x in zip(*counts, strict=True))
+        yield pa.RecordBatch.from_arrays([batch.column("other"), pa.array(texts, pa.binary()).cast(pa.string()), total, lost, runs], ["other", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated passages cut out of text, and n_lines, n_removed_lines, n_removed_chunks (runs of removed lines).
+
+    A window goes if an equal one comes before it, by document and place, and doesn't overlap it; so the first copy of each line stays.
+    Nulls, repeated rows and line feeds are as in line_dedup. Blank lines go only between removed lines.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(
+        F.struct(*others).alias("other"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("th", F.xxhash64("text"))
+    slim = rows.select("did", "th", "text")
+    keys = written(slim.where(F.contains("text", F.lit("\n"))).mapInArrow(_window_keys, "did long, th long, first int, key long"), "window-keys")
+    repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    suspects = keys.join(repeated, "key").groupBy("did", "th").agg(F.collect_set("first").alias("firsts"))
+    bodies = written(slim.join(suspects, ["did", "th"]).mapInArrow(_window_bodies, "did long, th long, first int, end int, body binary"), "window-bodies")
+    kept = bodies.groupBy("body").agg(F.min(F.struct("did", "th", "first", "end")).alias("kept"))
+    same = (F.col("did") == F.col("kept.did")) & (F.col("th") == F.col("kept.th"))
+    gone = bodies.join(kept, "body").where(~same | (F.col("first") >= F.col("kept.end"))).groupBy("did", "th").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
+    schema = "other " + rows.schema["other"].dataType.simpleString() + ", text string, n_lines long, n_removed_lines long, n_removed_chunks long"
+    done = rows.join(gone, ["did", "th"], "left").select("other", "text", "gone").mapInArrow(_without, schema)
+    return done.select(*[F.col("other")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns], "n_lines", "n_removed_lines", "n_removed_chunks")

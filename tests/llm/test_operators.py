@@ -275,3 +275,23 @@ def test_quality_union_is_tested(spark):
     rows = [("en", 100, 500, 400 * (i < 20), 9 * (20 <= i < 40), 10, 0) for i in range(2000)]  # 1 % each at any cutoff, 2 % together
     limits = quality.cutoffs(spark.createDataFrame(rows, columns)).first()
     assert limits["symbols"] == 2 and limits["dup_lines"] is None
+
+
+def test_passages_between_different_lines_are_removed(spark, rows, none):
+    rng = random.Random(8)
+    line = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(6))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 5) for _ in range(10)]
+    texts, want = [], []
+    for p in [p for p in passages for _ in range(3)]:
+        a, b = [line() for _ in range(rng.randint(1, 5))], [line() for _ in range(rng.randint(1, 5))]
+        want.append("\n".join(a + (p if len(texts) % 3 == 0 else []) + b))
+        texts.append("\n".join(a + p + b))
+    texts += ["x\n\nx\nx\nx\nend", line(), "", None]
+    want += ["x\n\nx\nx\nx\nend", texts[-3], "", ""]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.passage_dedup(made).collect()}
+    assert [got[i]["text"] for i in range(len(want))] == want
+    assert [got[i]["n_removed_chunks"] for i in range(3)] == [0, 1, 1] and got[1]["n_removed_lines"] == 2
+    assert got[120]["n_lines"] == 6
+    odd = _with_null_and_repeats(spark, rows)
+    assert line_dedup.passage_dedup(odd).count() == odd.count() and line_dedup.passage_dedup(none).count() == 0
