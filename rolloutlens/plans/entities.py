@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 
 from rolloutlens.sources import views
 
-#: Capitalised words that name no one. Longer lists are given as a parameter.
+#: Capitalised words that name no one, all days, months and other words of the reference.
 EXCLUDED = (
-    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
-    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
-    "The", "If", "He", "She", "It", "They", "How", "What", "When", "Each", "There", "This", "That", "In", "On", "At", "For", "And", "But", "So",
-    "Mr", "Mrs", "Ms", "Dr", "Prof", "Sir",
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August",
+    "September", "October", "November", "December", "If", "How", "What", "When", "Where", "Who", "Why", "Which", "The", "He", "She", "They", "His", "Her", "It",
+    "Its", "Their", "Each", "Every", "Some", "All", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine", "Ten", "This", "That", "These",
+    "Those", "There", "Here", "After", "Before", "During", "Since", "While", "Until", "In", "On", "At", "For", "From", "By", "To", "Of", "With", "But", "And",
+    "Or", "So", "Yet", "Then", "Than", "Also", "An", "A", "As", "Be", "Do", "Is", "Was", "Are", "Were", "Has", "Had", "Have", "Can", "Could", "Would", "Should",
+    "Not", "No", "Yes", "Both", "Many", "Most", "Only", "Step", "Answer", "Total", "Calculate", "Find", "Determine", "Given", "Let", "Solve", "Note", "Problem",
+    "Solution", "Half", "Twice", "Double", "Triple", "Quarter", "UV", "Art", "TV", "DVD", "GPS", "ATM", "GPA", "SAT", "ACT", "NFL", "NBA", "MLB", "USA", "US",
+    "UK", "PM", "AM", "North", "South", "East", "West", "Central", "City", "Town", "Street", "Avenue", "Road", "Park", "Drive", "Lake", "River", "Mountain",
+    "Island", "Valley", "Beach", "Bay", "York", "Angeles", "Francisco", "Diego", "America", "American", "European", "African", "Asian", "German", "French",
+    "Chinese", "Japanese", "Italian", "Spanish", "English", "British", "Mexican", "Canadian", "Facebook", "Instagram", "Twitter", "YouTube", "Amazon", "Google",
+    "Metropolitan", "Museum", "Library", "University", "College", "Hospital", "Church", "Airport", "Station", "National", "International", "Local", "Royal",
+    "Walmart", "Target", "Costco", "Student", "Students", "Teacher", "Teachers", "Farmer", "Class", "Children", "People", "Workers", "Company", "Store",
+    "School", "Family", "Friends", "Team", "Group", "Member", "Members", "Boy", "Girl", "Boys", "Girls", "Man", "Woman", "Men", "Women", "Brother", "Sister",
+    "Mother", "Father", "Uncle", "Aunt", "Son", "Daughter", "Husband", "Wife", "Baby", "Mom", "Dad", "Grandma", "Grandpa", "Grandad", "Grandmother",
+    "Grandfather", "Cousin", "Neighbor", "Day", "Week", "Month", "Year", "Hour", "Minute", "Morning", "Afternoon", "Evening", "Night", "Western", "Eastern",
+    "Northern", "Southern", "Lego", "Legos", "Scrabble", "Pokemon", "Junior", "Senior", "Little", "Big", "Great", "Christmas", "Easter", "Halloween",
+    "Thanksgiving", "First", "Second", "Third", "Fourth", "Fifth", "Last", "Next", "New", "Old", "Once", "Per", "Plus", "Currently", "Originally", "Recently",
+    "Finally", "However", "Therefore", "Meanwhile", "Although", "Mr", "Mrs", "Ms", "Dr", "Prof", "Sir",
 )
 
 
