@@ -116,3 +116,14 @@ def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     return np.unique(ngrams(word_hashes(words), min(n, len(words))))
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, all first bytes first, so that high bytes compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()

@@ -1,18 +1,20 @@
 """Exact n-gram Jaccard join as T-occurrence search with DivideSkip, spread over Spark.
 
-A text's set of n distinct shingles shares at least T = ceil(percent * n / 100) with any text it links with. All sets are put
-in one order, rarest shingles first. DivideSkip sets the T - 1 longest inverted lists aside: a linked pair must meet in the short lists, those
-of the first n - T + 1 shingles of both. Short lists are merged by grouping postings in hash partitions; a candidate's remaining, long lists
-are probed by binary search in its sorted set, which counts the exact overlap.
-
-Equal sets become one node, so copies cost nothing more. Links are looked for in rounds. In the first, each node is held against
-the three list owners it meets most often, which joins families of near copies with few probes a node. In the second, lists that still mix
-components each name four nodes, and a node is held against the most similar of those it meets outside its component; this costs rows in proportion
-to the lists, however large a family is. In the third, all nodes that still meet from different components are held against each other;
-pairs inside a component need no test. So no link between components is missed.
-
-Similarity is judged first by parity sketches: each shingle flips one of SKETCH_BITS bits, so the bits in which two sketches differ are never
+A text's set of n distinct shingles shares at least T = ceil(percent * n / 100) with any text it links with. All sets are put in one order,
+rarest shingles first. DivideSkip sets the T - t longest inverted lists of a set aside, t = 1 + n // MEET_EACH; its other, short lists are those of its
+first n - T + t shingles. Two linked texts meet in t short lists or more, and in so many that the lists set aside can make up the rest: with r = T - t of each,
+their overlap is at most meetings + the larger r. So meetings are counted pair by pair over the short lists, pairs with too few are dropped, and
+what the long lists add is found by binary search in the sorted set, which gives the exact overlap.
+
+Equal sets become one node, so copies cost nothing more. Links are looked for in rounds. In the first, a node meets only the smallest, the largest and a
+random owner of each of some short lists, and is held against the most similar of those; this joins families of near copies with one probe a node. In the second, lists
+that still mix components name four nodes each, and a node is held against the most similar of them outside its component. Both rounds cost rows in
+proportion to the lists, however large a family is. In the third, all pairs of nodes from different components are counted as above; pairs inside a component
+need no test. So no link between components is missed.
+
+Meetings are sifted by parity sketches first: each shingle flips one of SKETCH_BITS bits, so the bits in which two sketches differ are never
 more than the shingles in which the sets do. A pair whose sketches differ in more bits than a link allows can't link.
+Nothing but names, sizes and postings is written; the sets of the nodes to be probed are made from their texts again.
 """
 
 from __future__ import annotations
@@ -25,17 +27,19 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolloutlens.llm.common import as_bytes, drop_files, id_and_text, real_id, release_shuffles, shingle_set, slices, written
+from rolloutlens.llm.common import as_bytes, drop_files, from_planes, id_and_text, planes, real_id, release_shuffles, shingle_set, slices, written
 from rolloutlens.llm.components import components
 
-#: Shingles in one hash partition; shingles in this many texts or more are ordered by how many, as far as MOST_COMMON of them fit.
-PARTITION, COMMON_AT, MOST_COMMON = 2_000_000, 8, 400_000
-#: Bits of a node's parity sketch, in whole longs, and the most similar owners that a node is held against in the second round.
-SKETCH_BITS, NEAREST = 512, 4
-_LOW = np.uint64(0xFFFFFFFF)
+#: Shingles in one hash partition. Shingles in COMMON_AT texts or more are ordered by how many, if they make up 1 / MOST_COMMON of all shingles of all texts or more;
+#: so there are fewer than MOST_COMMON of them at any input size.
+PARTITION, COMMON_AT, MOST_COMMON = 2_000_000, 8, 1 << 19
+#: Shingles of a set for each further meeting; postings of the very common shingles that share a hash partition.
+MEET_EACH, SPLIT = 64, 100_000
+#: Short lists of a node that the first round looks at, about; bits of a node's parity sketch, in whole longs; nodes that one is held against in the second round.
+FIRST_LISTS, SKETCH_BITS, NEAREST = 16, 512, 2
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -48,31 +52,48 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _by_partition(values: np.ndarray, partitions: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Runs of sorted 64-bit ``values`` by their upper half modulo the number of partitions: (partition, positions)."""
-    part = ((values >> np.uint64(32)) % np.uint64(partitions)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+def set_aside(n: int, percent: int) -> int:
+    """How many of the longest lists of a set of n shingles aren't merged."""
+    return -(-percent * n // 100) - (1 + n // MEET_EACH)
+
+
+def _aside(n: Column, percent: int) -> Column:
+    return F.ceil(F.lit(percent) * n / 100) - (1 + F.floor(n / MEET_EACH))
+
+
+def _by_partition(values: np.ndarray, partitions: int, salt: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of 64-bit ``values`` by their upper half, and salt, modulo the number of partitions: (partition, positions in ascending order of values)."""
+    upper = values >> np.uint64(32)
+    part = ((upper if salt is None else upper + salt) % np.uint64(partitions)).astype(np.int64)
+    order = np.lexsort((values, part))
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for run in np.split(order, cuts) if len(order) else []:
         yield int(part[run[0]]), run
 
 
+def _ascending(values: np.ndarray) -> bytes:
+    return planes(np.diff(values, prepend=np.uint64(0)), 8)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], names)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(did, n, node): size and name of each text's set; the name of equal sets is equal."""
+    """(did, n, node, sketch): size, name and sketch of each text's set; the name of equal sets is equal."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(x) for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], ["did", "n", "node"])
-
-    return id_and_text(docs).mapInArrow(sign, "did long, n long, node long")
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("did"), *columns], ["did", "n", "node", "sketch"])
 
+    return id_and_text(docs).mapInArrow(sign, "did long, n long, node long, sketch array<long>")
 
-def common_shingles(docs: DataFrame, partitions: int) -> dict[int, int]:
-    """How many texts hold each very common shingle: at most MOST_COMMON of them. All texts are counted; a count only decides the order.
 
-    Shingles travel as 32 bits inside a hash partition, counted in the task first; shingles that share them are counted together.
-    """
+def common_shingles(docs: DataFrame, partitions: int, at_least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of the shingles that ``at_least`` texts hold, counted over all texts; sorted by shingle."""
 
     def part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -81,9 +102,7 @@ def common_shingles(docs: DataFrame, partitions: int) -> dict[int, int]:
             if held:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                rows = [(p, (values[at] & _LOW).astype("<u4").tobytes(), counts[at].astype("<u4").tobytes()) for p, at in _by_partition(values, partitions)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["p", "low", "count"])
+                yield from _batch([(p, _ascending(values[at]), planes(counts[at], 4)) for p, at in _by_partition(values, partitions)], ["p", "shingle", "count"])
 
         for batch in slices(batches):
             held += [shingle_set(x) for x in as_bytes(batch.column("text"))]
@@ -92,50 +111,42 @@ def common_shingles(docs: DataFrame, partitions: int) -> dict[int, int]:
         yield from flush()
 
     def common(table: pa.Table) -> pa.Table:
-        values = np.concatenate([np.frombuffer(x, "<u4") for x in table["low"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["count"].to_pylist()]).astype(np.int64)
+        values = np.concatenate([np.cumsum(from_planes(x, 8)) for x in table["shingle"].to_pylist()])
+        counts = np.concatenate([from_planes(x, 4) for x in table["count"].to_pylist()]).astype(np.int64)
         order = np.argsort(values, kind="stable")
         values, counts = values[order], counts[order]
         starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
         total = np.add.reduceat(counts, starts)
-        keep = total >= COMMON_AT
-        p = np.full(int(keep.sum()), table["p"][0].as_py(), np.int64)
-        return pa.table([pa.array(p), pa.array(values[starts][keep].astype(np.int64)), pa.array(total[keep])], ["p", "low", "n"])
-
-    pieces = id_and_text(docs).mapInArrow(part_counts, "p int, low binary, count binary")
-    counted = written(pieces.groupBy("p").applyInArrow(common, "p long, low long, n long"), "common")
-    size = F.floor(F.log2("n")).cast("int")
-    at_least, held = COMMON_AT, 0
-    for row in sorted(counted.groupBy(size.alias("size")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["size"]):
-        held += row["k"]
-        if held > MOST_COMMON:
-            at_least = 2 << row["size"]
-            break
-    found = {(r["p"] << 32) + r["low"]: r["n"] for r in counted.where(F.col("n") >= at_least).collect()}
-    drop_files(docs.sparkSession, counted)
-    return found
+        keep = total >= at_least
+        return pa.table([pa.array(values[starts][keep].view(np.int64)), pa.array(total[keep])], ["shingle", "n"])
+
+    pieces = id_and_text(docs).mapInArrow(part_counts, "p int, shingle binary, count binary")
+    found = pieces.groupBy("p").applyInArrow(common, "shingle long, n long").toArrow()  # fewer than MOST_COMMON
+    values, counts = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(values)
+    return values[order], counts[order]
 
 
 class Order:
     """Rarest first: shingles that aren't common by hash, then the common ones by their count."""
 
-    def __init__(self, common: dict[int, int], partitions: int):
-        self.keys = np.array(sorted(common), np.uint64)
-        self.counts = np.array([common[k] for k in self.keys.tolist()], np.int64)
-        self.partitions = np.uint64(partitions)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
 
-    def prefix(self, shingles: np.ndarray, length: int) -> np.ndarray:
+    def count(self, shingles: np.ndarray) -> np.ndarray:
+        """The counts of common shingles, 0 for others."""
         if not len(self.keys):
-            return shingles[:length]
-        keys = ((shingles >> np.uint64(32)) % self.partitions << np.uint64(32)) + (shingles & _LOW)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        counts = np.where(self.keys[at] == keys, self.counts[at], 0)
-        return shingles[np.argsort(counts, kind="stable")[:length]]
+            return np.zeros(len(shingles), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        return np.where(self.keys[at] == shingles, self.counts[at], 0)
+
+    def prefix(self, shingles: np.ndarray, length: int) -> np.ndarray:
+        return shingles[np.argsort(self.count(shingles), kind="stable")[:length]]
 
 
 def short_lists(docs: DataFrame, order: Order, partitions: int, percent: int) -> DataFrame:
-    """(shingle, node, n, pos) of all short inverted lists with two nodes or more; pos is the shingle's place in the node's order."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # MOST_COMMON entries at most
+    """(shingle, node, n) of all short inverted lists with two nodes or more. The list of a very common shingle is dealt over several partitions by node."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # fewer than MOST_COMMON entries
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = shared.value
@@ -146,9 +157,9 @@ def short_lists(docs: DataFrame, order: Order, partitions: int, percent: int) ->
                 values = np.concatenate([x for _, _, x in held])
                 lengths = [len(x) for _, _, x in held]
                 nodes, sizes = (np.repeat(np.array(x, np.int64), lengths) for x in list(zip(*held, strict=True))[:2])
-                pos = np.concatenate([np.arange(k) for k in lengths])
-                rows = [(p, values[at].tobytes(), nodes[at].tobytes(), sizes[at].astype("<i4").tobytes(), pos[at].astype("<i4").tobytes()) for p, at in _by_partition(values, partitions)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["p", "shingle", "node", "n", "pos"])
+                ways = (ordered.count(values) // SPLIT + 1).astype(np.uint64)
+                rows = [(p, _ascending(values[at]), nodes[at].tobytes(), planes(sizes[at], 4)) for p, at in _by_partition(values, partitions, nodes.view(np.uint64) % ways)]
+                yield from _batch(rows, ["p", "shingle", "node", "n"])
                 held.clear()
 
         seen: set[int] = set()
@@ -157,43 +168,38 @@ def short_lists(docs: DataFrame, order: Order, partitions: int, percent: int) ->
                 s = shingle_set(text)
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
-                    held.append((node, len(s), ordered.prefix(s, len(s) - -(-percent * len(s) // 100) + 1)))
+                    held.append((node, len(s), ordered.prefix(s, len(s) - set_aside(len(s), percent))))
             if sum(len(x) for _, _, x in held) > PARTITION:
                 yield from flush()
                 seen.clear()
         yield from flush()
 
     def lists(table: pa.Table) -> pa.Table:
-        cols = {c: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("shingle", np.uint64), ("node", np.int64), ("n", "<i4"), ("pos", "<i4"))}
-        at = np.lexsort((cols["node"], cols["shingle"]))
-        s, node = cols["shingle"][at], cols["node"][at]
+        s = np.concatenate([np.cumsum(from_planes(x, 8)) for x in table["shingle"].to_pylist()])
+        node = np.concatenate([np.frombuffer(x, np.int64) for x in table["node"].to_pylist()])
+        n = np.concatenate([from_planes(x, 4) for x in table["n"].to_pylist()]).astype(np.int32)
+        at = np.lexsort((node, s))
+        s, node, n = s[at], node[at], n[at]
         new = np.append(True, (s[1:] != s[:-1]) | (node[1:] != node[:-1]))  # copies in other tasks
-        at, s = at[new], s[new]
+        s, node, n = s[new], node[new], n[new]
         starts = np.append(True, s[1:] != s[:-1])
-        alone = starts & np.append(starts[1:], True)
-        at = at[~alone]
-        return pa.table([pa.array(cols["shingle"][at].view(np.int64)), pa.array(cols["node"][at]), pa.array(cols["n"][at].astype(np.int32)), pa.array(cols["pos"][at].astype(np.int32))], ["shingle", "node", "n", "pos"])
+        keep = ~(starts & np.append(starts[1:], True)) | (shared.value.count(s) >= SPLIT)
+        return pa.table([pa.array(s[keep].view(np.int64)), pa.array(node[keep]), pa.array(n[keep])], ["shingle", "node", "n"])
 
-    pieces = id_and_text(docs).mapInArrow(post, "p int, shingle binary, node binary, n binary, pos binary")
-    return pieces.groupBy("p").applyInArrow(lists, "shingle long, node long, n int, pos int")
+    pieces = id_and_text(docs).mapInArrow(post, "p int, shingle binary, node binary, n binary")
+    return pieces.groupBy("p").applyInArrow(lists, "shingle long, node long, n int")
 
 
-def _node_sets(docs: DataFrame, signs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(node, shingles, sketch) for the nodes of ``lists``, from one text each."""
-    owners = signs.join(lists.select("node").distinct(), "node").groupBy("node").agg(F.min("did").alias("did")).select("did").distinct()
+def _probed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: the overlap is counted by binary search of one set in the other. Each a's set is sent once for each pair, each b's once."""
+    spark = docs.sparkSession
+    pairs = written(pairs, "pairs")
+    ends = [written(pairs.select(F.col(c).alias("node")).distinct().join(nodes.select("node", "did"), "node"), "ends") for c in "ab"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = {_node(s): s for s in map(shingle_set, as_bytes(batch.column("text"))) if len(s)}
-            columns = [pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary()), pa.array([sketch(s) for s in found.values()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "sketch"])
-
-    found = id_and_text(docs).join(owners, "did", "left_semi").mapInArrow(sets, "node long, shingles binary, sketch array<long>")
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
-
-
-def _probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: the overlap is counted by binary search of one set in the other."""
+            found = {n: s for n, s in zip(batch.column("node").to_pylist(), map(shingle_set, as_bytes(batch.column("text"))), strict=True) if _node(s) == n}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "shingles"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,41 +211,56 @@ def _probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda name, value: sets.select(F.col("node").alias(name), F.col("shingles").alias(value))
-    return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").mapInArrow(probe, "a long, b long")
+    a, b = (id_and_text(docs).join(e, "did").mapInArrow(sets, "node long, shingles binary").select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c, e in zip("ab", ends, strict=True))
+    links = written(pairs.join(a, "a").join(b, "b").mapInArrow(probe, "a long, b long").distinct(), "links")
+    drop_files(spark, pairs, *ends)
+    release_shuffles(spark)
+    return links
+
+
+def _need(percent: int) -> Column:
+    """The overlap that a link of sizes n and m needs."""
+    return F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
 
 
-def _may_link(percent: int):
-    """Size and place filters of a meeting (n, pos) of a with (m, qos) of b: what is left of both must hold the overlap."""
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")) >= need)
+def _near_sizes(percent: int) -> Column:
+    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
-def _differ() -> F.Column:
+def _differ() -> Column:
     """Bits in which the two sketches of a meeting differ."""
     return reduce(add, [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("other_sketch", F.lit(k)))) for k in range(SKETCH_BITS // 64)])
 
 
-def _may_link_outside(percent: int) -> F.Column:
-    """What a meeting must pass to be probed: another component, sizes and places, and sketches as near as a link needs."""
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
-    return (F.col("component") != F.col("other")) & _may_link(percent) & (_differ() <= F.col("n") + F.col("m") - 2 * need)
+def _may_link(percent: int) -> Column:
+    """What a meeting must pass: sizes, and sketches as near as a link needs."""
+    return _near_sizes(percent) & (_differ() <= F.col("n") + F.col("m") - 2 * _need(percent))
 
 
-def _mixed(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _mixed(lists: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of lists that hold nodes of different components, with component and sketch."""
     rows = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    return rows.join(mixed, "shingle").join(sets.select("node", "sketch"), "node")
+    mixed = written(rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle"), "mixed-shingles")
+    done = written(rows.join(mixed, "shingle").join(nodes.select("node", "sketch"), "node"), "mixed")
+    drop_files(lists.sparkSession, mixed)
+    return done
 
 
-_OTHERS = {"node": "b", "n": "m", "pos": "qos", "component": "other", "sketch": "other_sketch"}
+_OTHERS = {"node": "b", "n": "m", "component": "other", "sketch": "other_sketch"}
 
 
-def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes that meet in a short list from different components and may link."""
-    right = mixed.select("shingle", *[F.col(c).alias(to) for c, to in _OTHERS.items()])
-    return mixed.withColumnRenamed("node", "a").join(right, "shingle").where((F.col("a") < F.col("b")) & _may_link_outside(percent)).select("a", "b").distinct()
+def _best_owners(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): for each node the most similar, by sketch, of three: of the smallest, the largest and an arbitrary but fixed node of its lists, the ones that it meets most often."""
+    some = lists.where(F.pmod("shingle", F.lit(64)) * (F.col("n") - _aside(F.col("n"), percent)) < 64 * FIRST_LISTS)
+    entry = F.struct("n", "node")
+    owners = some.groupBy("shingle").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.min_by(entry, F.xxhash64("node")).alias("any"))
+    met = some.join(owners, "shingle").select(
+        F.col("node").alias("a"), "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("o")) for k, c in enumerate(("low", "high", "any"))])).alias("e")
+    ).select("a", "n", "e.k", F.col("e.o.node").alias("b"), F.col("e.o.n").alias("m"))
+    hits = met.where((F.col("a") != F.col("b")) & _near_sizes(percent)).groupBy("a", "k", "b", "n", "m").agg(F.count("*").alias("hits"))
+    best = hits.groupBy("a", "k").agg(F.max_by(F.struct("b", "n", "m"), F.struct("hits", "b")).alias("e")).select("a", "e.*").distinct()
+    both = best.join(nodes.select(F.col("node").alias("a"), "sketch"), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("other_sketch")), "b")
+    return both.where(_may_link(percent)).groupBy("a").agg(F.min_by("b", F.struct(_differ(), "b")).alias("b"))
 
 
 def _nearest_owners(mixed: DataFrame, percent: int) -> DataFrame:
@@ -251,22 +272,19 @@ def _nearest_owners(mixed: DataFrame, percent: int) -> DataFrame:
     named = [pick(entry, F.xxhash64("shingle", "node", F.lit(k))) for k in range(2) for pick in (F.min_by, F.max_by)]
     owners = mixed.groupBy("shingle").agg(F.array_distinct(F.array(*named)).alias("named")).select("shingle", F.explode("named").alias("o"))
     met = mixed.withColumnRenamed("node", "a").join(owners.select("shingle", *[F.col(f"o.{c}").alias(to) for c, to in _OTHERS.items()]), "shingle")
-    near = met.where(_may_link_outside(percent)).select("a", "b", _differ().alias("d")).distinct()
+    near = met.where((F.col("component") != F.col("other")) & _may_link(percent)).select("a", "b", _differ().alias("d")).distinct()
     turn = Window.partitionBy("a").orderBy("d", "b")
     near = near.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= NEAREST)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _best_owners(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): for each node, of the smallest, largest and an arbitrary but fixed node of its lists, the ones that it meets most often."""
-    entry = F.struct("n", "node", "pos")
-    owners = lists.groupBy("shingle").agg(F.min(entry).alias("low"), F.max(entry).alias("high"), F.min_by(entry, F.xxhash64("node")).alias("any"))
-    met = lists.join(owners, "shingle").select(
-        F.col("node").alias("a"), "n", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("o")) for k, c in enumerate(("low", "high", "any"))])).alias("e")
-    ).select("a", "n", "pos", "e.k", F.col("e.o.node").alias("b"), F.col("e.o.n").alias("m"), F.col("e.o.pos").alias("qos"))
-    hits = met.where((F.col("a") != F.col("b")) & _may_link(percent)).groupBy("a", "k", "b").agg(F.count("*").alias("hits"))
-    best = hits.groupBy("a", "k").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes from different components that meet in as many short lists as a link needs."""
+    right = mixed.select("shingle", *[F.col(c).alias(to) for c, to in _OTHERS.items()])
+    met = mixed.withColumnRenamed("node", "a").join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link(percent))
+    counted = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("meetings"))
+    least = F.greatest(F.lit(1), _need(percent) - F.greatest(_aside(F.col("n"), percent), _aside(F.col("m"), percent)))
+    return counted.where(F.col("meetings") >= least).select("a", "b")
 
 
 def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -279,21 +297,20 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     signs = written(signatures(docs), "signs")
     total = signs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     partitions = max(12, -(-total // PARTITION))
-    order = Order(common_shingles(docs, partitions), partitions)
-    lists = written(short_lists(docs, order, partitions, percent), "lists")
+    order = Order(*common_shingles(docs, partitions, max(COMMON_AT, total // MOST_COMMON + 1)))
     release_shuffles(spark)
-    sets = written(_node_sets(docs, signs, lists), "sets")
+    lists = written(short_lists(docs, order, partitions, percent), "lists")
     release_shuffles(spark)
-    best = _best_owners(lists, percent)
-    links = written(_probed(best, sets, percent), "links")
+    nodes = written(signs.join(lists.select("node").distinct(), "node").groupBy("node").agg(F.min("did").alias("did"), F.first("sketch").alias("sketch")), "nodes")
+    links = _probed(docs, nodes, _best_owners(lists, nodes, percent), percent)
     labels = components(links)
     drop_files(spark, links)
     for candidates in (_nearest_owners, _cross_pairs):
-        mixed = written(_mixed(lists, labels, sets), "mixed")
-        more = written(_probed(candidates(mixed, percent), sets, percent), "links")
+        mixed = _mixed(lists, labels, nodes)
+        more = _probed(docs, nodes, candidates(mixed, percent), percent)
         known, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         drop_files(spark, mixed, more, known)
-    drop_files(spark, sets, lists)
+    drop_files(spark, nodes, lists)
     named = signs.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.where("n > 0").groupBy("component").agg(F.min(real_id()).alias("component_id"))
     joined = named.join(smallest, "component", "left")
