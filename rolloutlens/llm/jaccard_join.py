@@ -35,7 +35,7 @@ from rolloutlens.llm.components import components
 
 #: Shingles in one hash partition. Shingles in COMMON_AT texts or more are ordered by how many, if they make up 1 / MOST_COMMON of all shingles of all texts or more;
 #: so there are fewer than MOST_COMMON of them at any input size.
-PARTITION, COMMON_AT, MOST_COMMON = 2_000_000, 8, 1 << 19
+PARTITION, COMMON_AT, MOST_COMMON = 2_000_000, 8, 1 << 20
 #: Shingles of a set for each further meeting; postings of the very common shingles that share a hash partition.
 MEET_EACH, SPLIT = 64, 100_000
 #: Short lists of a node that the first round looks at, about; bits of a node's parity sketch, in whole longs; nodes that one is held against in the second round.
@@ -238,11 +238,13 @@ def _may_link(percent: int) -> Column:
 
 
 def _mixed(lists: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of lists that hold nodes of different components, with component and sketch."""
+    """The rows of lists that hold nodes of different components, with component and sketch; of lists with the same nodes, as the shingles of a shared passage have, one with their number as weight."""
     rows = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = written(rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle"), "mixed-shingles")
-    done = written(rows.join(mixed, "shingle").join(nodes.select("node", "sketch"), "node"), "mixed")
-    drop_files(lists.sparkSession, mixed)
+    holders = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"holders{k}") for k in range(2)]
+    found = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("length"), *holders).where("x <> y")
+    kept = written(found.groupBy("length", "holders0", "holders1").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")).select("shingle", "weight"), "mixed-lists")
+    done = written(rows.join(kept, "shingle").join(nodes.select("node", "sketch"), "node"), "mixed")
+    drop_files(lists.sparkSession, kept)
     return done
 
 
@@ -282,7 +284,7 @@ def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes from different components that meet in as many short lists as a link needs."""
     right = mixed.select("shingle", *[F.col(c).alias(to) for c, to in _OTHERS.items()])
     met = mixed.withColumnRenamed("node", "a").join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link(percent))
-    counted = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("meetings"))
+    counted = met.groupBy("a", "b", "n", "m").agg(F.sum("weight").alias("meetings"))
     least = F.greatest(F.lit(1), _need(percent) - F.greatest(_aside(F.col("n"), percent), _aside(F.col("m"), percent)))
     return counted.where(F.col("meetings") >= least).select("a", "b")
 
