@@ -1,8 +1,12 @@
 """Stupid-backoff scores of documents under counts of the whole corpus, the document itself left out.
 
-Documents are dealt into blocks. Each block counts its distinct n-grams of each order and sends them to hash partitions, where the count tables
-are summed and joined to what each block sent; the totals go back to the blocks, which look them up for every n-gram of each document and sum.
-A very common n-gram is one row for each block. Only hashes, counts and the blocks' texts move, each once.
+The join of exploded n-grams with count tables, in packed rows: documents are written in blocks, a block's distinct n-grams of all orders go with their counts to
+hash partitions, each of which holds one slice of the count table; there the counts are summed and joined to what each block sent, and the totals go back
+to the blocks, which look them up for every n-gram of each document and sum. Row by row, with a key and a document id for each n-gram, the same join would
+shuffle some 16 bytes for each word and order; packed and sorted, an n-gram costs a block about 6 bytes, once.
+A very common n-gram is one entry for each block. Texts are compressed and move once.
+
+An n-gram is known by 64 bits of hash: of a billion different ones, about one pair in 37 such corpora shares a count.
 """
 
 from __future__ import annotations
@@ -16,97 +20,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloutlens.llm.common import as_bytes, id_and_text, ngrams, real_id, word_hashes, written
+from rolloutlens.llm.blocks import blocks_of, dids_of, rows_of, texts_of
+from rolloutlens.llm.common import drop_files, from_planes, ngrams, planes, real_id, word_hashes, written
 
 #: What a step down costs (the fixed value of the method).
 BACKOFF = 0.4
-#: Text bytes of a block, and n-grams of a hash partition. An n-gram's key is 48 bits of its hash inside the partition: about one in 300 million shares a key.
-BLOCK_BYTES, PARTITION = 8 << 20, 2_000_000
-_KEY = np.uint64((1 << 48) - 1)
-
-
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each value, all first bytes first, so that high bytes compress."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+#: Entries of a hash partition, about.
+PARTITION = 700_000
+_SENT = "p int, block long, keys binary, counts binary"
 
 
-def _from_planes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
+def _words(row: dict) -> list[np.ndarray]:
+    """Word hashes of each text of a block."""
+    return [word_hashes(t.split()) for t in texts_of(row)]
 
 
 def _grams(words: list[np.ndarray], order: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(ngrams(w, order) for w in words)])
 
 
-def _split(keys: np.ndarray, order: int, partitions: int) -> list[tuple[int, np.ndarray]]:
-    """(partition, positions) of distinct hashes, ordered by partition and then by the 48-bit key."""
-    part = ((keys >> np.uint64(48)) * np.uint64(7) + np.uint64(order)) % np.uint64(partitions)
-    at = np.lexsort((keys & _KEY, part))
-    cuts = np.flatnonzero(np.diff(part[at])) + 1
-    return [(int(part[run[0]]), run) for run in np.split(at, cuts)] if len(at) else []
+def _slices_of(keys: np.ndarray, partitions: int) -> list[tuple[int, int, int]]:
+    """(partition, first, end) of sorted keys; a partition is a range of them."""
+    part = (keys >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+    return [(int(part[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def _block_counts(orders: int, partitions: int):
-    def count(table: pa.Table) -> pa.Table:
-        words = [word_hashes(x.split()) for x in as_bytes(table["text"].combine_chunks())]
-        rows = []
-        for order in range(1, orders + 1):
-            keys, counts = np.unique(_grams(words, order), return_counts=True)
-            for p, at in _split(keys, order, partitions):
-                low = keys[at] & _KEY
-                rows.append((p, table["block"][0].as_py(), order, _planes(np.diff(low, prepend=np.uint64(0)), 6), _planes(counts[at], 4)))
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], ["p", "block", "order", "keys", "counts"])
+def _count(orders: int, partitions: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            words = _words(row)
+            keys, counts = np.unique(np.concatenate([_grams(words, n) for n in range(1, orders + 1)]), return_counts=True)
+            rows = [(p, row["block"], planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), planes(counts[a:b], 4)) for p, a, b in _slices_of(keys, partitions)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["p", "block", "keys", "counts"])
 
     return count
 
 
 def _totals(table: pa.Table) -> pa.Table:
     """For one hash partition: sum the counts of each n-gram and answer each block with the totals of what it sent, in its order."""
-    order, keys = table["order"].to_numpy(), [np.cumsum(_from_planes(x, 6)) for x in table["keys"].to_pylist()]
-    counts = [_from_planes(x, 4).astype(np.int64) for x in table["counts"].to_pylist()]
-    whole = np.concatenate([k | np.uint64(o) << np.uint64(60) for k, o in zip(keys, order, strict=True)])
-    values, at = np.unique(whole, return_inverse=True)
-    sums = np.bincount(at, np.concatenate(counts).astype(float), len(values)).astype(np.int64)[at]
+    keys = [np.cumsum(from_planes(x, 8)) for x in table["keys"].to_pylist()]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table([table["block"], table["order"], table["p"], pa.array([_planes(x, 6) for x in np.split(sums, cuts)], pa.binary())], ["block", "order", "p", "totals"])
+    values, at = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([from_planes(x, 4) for x in table["counts"].to_pylist()])
+    sums = np.bincount(at, counts, len(values)).astype(np.int64)[at]
+    return pa.table([table["block"], table["p"], pa.array([planes(x, 6) for x in np.split(sums, cuts)], pa.binary())], ["block", "p", "totals"])
 
 
 def _block_scores(orders: int, partitions: int):
-    def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())], ["did", "n_words", "used", "log_sum"])
-        words = [word_hashes(x.split()) for x in as_bytes(docs["text"].combine_chunks())]
+    def score(block: pa.Table, totals: pa.Table) -> pa.Table:
+        (row,) = block.to_pylist()
+        words = _words(row)
         n = np.array([len(w) for w in words])
-        doc = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        answers = {(o, p): t for o, p, t in zip(*(totals[c].to_pylist() for c in ("order", "p", "totals")), strict=True)}
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        place = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        grams = [_grams(words, k) for k in range(1, orders + 1)]
+        ends = np.cumsum([len(g) for g in grams])
+        keys, at = np.unique(np.concatenate(grams), return_inverse=True)
+        del grams, words
+        answers = dict(zip(totals["p"].to_pylist(), totals["totals"].to_pylist(), strict=True))
+        sums = np.zeros(len(keys), np.int64)
+        for p, a, b in _slices_of(keys, partitions):
+            sums[a:b] = from_planes(answers.pop(p), 6)
         others = []  # by order and word: how often the n-gram that ends here occurs in other documents
-        for order in range(1, orders + 1):
-            keys, at = np.unique(_grams(words, order), return_inverse=True)
-            sums = np.zeros(len(keys), np.int64)
-            for p, run in _split(keys, order, partitions):
-                sums[run] = _from_planes(answers[order, p], 6)
+        for order, of in enumerate(np.split(at, ends[:-1]), 1):
             here = place >= order - 1
-            _, of, own = np.unique(doc[here] * (len(keys) + 1) + at, return_inverse=True, return_counts=True)
+            _, same, own = np.unique(doc[here].astype(np.int64) * (len(keys) + 1) + of, return_inverse=True, return_counts=True)
             left = np.zeros(len(doc), np.int64)
-            left[here] = sums[at] - own[of]
+            left[here] = sums[of] - own[same]
             others.append(left)
         log = np.zeros(len(doc))
-        used = np.zeros(len(doc), np.int64)
+        used = np.zeros(len(doc), np.int8)
         history = np.minimum(place, orders - 1)  # words before that the model looks at
         for order in range(orders, 1, -1):
-            take = (used == 0) & (place >= order - 1) & (others[order - 1] > 0)
-            where = np.flatnonzero(take)
+            where = np.flatnonzero((used == 0) & (place >= order - 1) & (others[order - 1] > 0))
             log[where] = np.log(others[order - 1][where] / others[order - 2][where - 1]) + (history[where] - (order - 1)) * math.log(BACKOFF)
             used[where] = order
         rest = np.flatnonzero(used == 0)
         log[rest] = np.log(np.maximum(others[0][rest], 1)) + history[rest] * math.log(BACKOFF)
         used[rest] = 1
         by_order = np.stack([np.bincount(doc[used == o], minlength=len(n)) for o in range(1, orders + 1)], axis=1)
-        return pa.table([docs["did"], pa.array(n.astype(np.int64)), pa.array(by_order.tolist(), pa.list_(pa.int64())), pa.array(np.bincount(doc, log, len(n)))], ["did", "n_words", "used", "log_sum"])
+        return pa.table([pa.array(dids_of(row)), pa.array(n.astype(np.int64)), pa.array(by_order.tolist(), pa.list_(pa.int64())), pa.array(np.bincount(doc, log, len(n)))], ["did", "n_words", "used", "log_sum"])
 
     return score
 
@@ -119,14 +114,14 @@ def lm_scores(docs: DataFrame, orders: int = 3) -> DataFrame:
     The first words of a document start at the order that their place allows. Null and empty texts have no words and score 0 (mean null); a null doc_id
     stays null; repeated rows are documents of their own.
     """
-    rows = id_and_text(docs)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
-    blocks, partitions = max(6, -(-size // BLOCK_BYTES)), max(12, size // 4 // PARTITION)
-    dealt = rows.select(F.pmod(F.xxhash64("did", "text"), F.lit(blocks)).alias("block"), "did", "text")
-    sent = dealt.groupBy("block").applyInArrow(_block_counts(orders, partitions), "p int, block long, order int, keys binary, counts binary")
-    totals = sent.groupBy("p").applyInArrow(_totals, "block long, order int, p int, totals binary")
-    scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_block_scores(orders, partitions), "did long, n_words long, used array<long>, log_sum double")
+    blocks = written(blocks_of(docs), "lm-blocks")
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
+    partitions = max(12, size * orders // 9 // PARTITION)  # a word and its space are 6 to 7 bytes, and a third of a block's n-grams repeat
+    sent = blocks.mapInArrow(_count(orders, partitions), _SENT)
+    totals = sent.groupBy("p").applyInArrow(_totals, "block long, p int, totals binary")
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_block_scores(orders, partitions), "did long, n_words long, used array<long>, log_sum double")
     scored = written(scored, "lm-scores")
+    drop_files(docs.sparkSession, blocks)
     words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
     score = F.col("log_sum") - F.col("used")[0] * F.log(F.greatest(F.col("words") - F.col("n_words"), F.lit(1)))
     return scored.crossJoin(words).select(real_id().alias("doc_id"), "n_words", "used", score.alias("score"), F.try_divide(score, "n_words").alias("mean_score"))  # words is one row
