@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, each operator against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -169,11 +170,29 @@ def test_packing_plan_covers_any_histogram():
     for _ in range(10):
         histogram = {rng.randint(1, 64): rng.randint(1, 500) for _ in range(rng.randint(1, 20))}
         used = Counter()
-        for content, copies in packing.plan_sequences(histogram, 64, rounds=50):
+        plan, least = packing.plan_with_bound(histogram, 64, rounds=50)
+        for content, copies in plan:
             assert sum(s * n for s, n in content) <= 64
             for s, n in content:
                 used[s] += n * copies
-        assert used == histogram
+        assert used == histogram and least <= sum(n for _, n in plan)
+
+
+def test_packing_by_configurations_beats_best_fit():
+    rng = random.Random(1)
+    histogram = Counter(rng.randint(600, 1100) for _ in range(50_000))  # hardly a configuration fills 2048 by itself
+    plan, best_fit = packing.plan_sequences(histogram, 2048), packing._best_fit(Counter(histogram), 2048)
+    assert sum(n for _, n in plan) < 0.985 * sum(n for _, n in best_fit)
+
+
+def test_best_configurations():
+    rng = np.random.default_rng(4)
+    price = np.full((3, 31), -np.inf)
+    price[:, [5, 7, 11, 18]] = rng.random((3, 4))
+    worth, found = packing.best_configurations(price, 30)
+    for k in range(3):
+        best = max(sum(n * price[k, s] for n, s in zip(c, (5, 7, 11, 18))) for c in np.ndindex(7, 5, 3, 2) if 5 * c[0] + 7 * c[1] + 11 * c[2] + 18 * c[3] <= 30)
+        assert worth[k] == pytest.approx(best) and sum(n * price[k, s] for s, n in found[k].items()) == pytest.approx(best)
 
 
 def test_decontamination(spark, docs, rows):
@@ -217,15 +236,39 @@ def test_suffix_dedup(docs, rows):
     assert got == suffix_dedup.brute_force(_raw(rows))
 
 
-def test_suffix_levels_grow_geometrically(spark, docs):
+def test_suffix_levels_grow_geometrically(spark, docs, rows):
     from pyspark.sql import functions as F
-    from rolloutlens.llm.common import id_and_text
 
-    keyed, family, ranks = id_and_text(docs).withColumn("th", F.xxhash64("text")), suffix_dedup.SuffixFamily(12), []
+    family, ranks = suffix_dedup.SuffixFamily(spark, 12), []
     for k in range(4):
-        family.add(keyed.where(F.pmod("did", F.lit(4)) == k))
-        ranks.append(sorted(family.levels))
-    assert ranks == [[0], [1], [0, 1], [2]]
+        family = suffix_dedup.SuffixFamily(spark, 12, state=json.loads(json.dumps(family.state)))  # as another session would open it
+        family.add(docs.where(F.pmod("doc_id", F.lit(4)) == k))
+        ranks.append(sorted(family.state["levels"]))
+    assert ranks == [["0"], ["1"], ["0", "1"], ["2"]]
+    assert {r["did"]: tuple(r)[1:5] for r in suffix_dedup.digests(family).collect()} == suffix_dedup.brute_force(_raw(rows))
+    family.close()
+
+
+def test_suffix_dedup_of_hot_anchors(spark, rows):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(25))
+    texts = [(i, " ".join([*(word() for _ in range(rng.randint(0, 9))), passage, *(word() for _ in range(rng.randint(0, 9)))])) for i in range(60)]
+    made = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    family = suffix_dedup.SuffixFamily(spark, 12, hot=5)
+    family.add(made.where("doc_id < 40"))
+    family.add(made.where("doc_id >= 40"))
+    assert len(family.heavy())
+    assert {r["did"]: tuple(r)[1:5] for r in suffix_dedup.digests(family).collect()} == suffix_dedup.brute_force([(i, t.encode()) for i, t in texts])
+
+
+def test_windows_that_share_a_key_are_compared_by_their_bytes():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(97, 123, suffix_dedup.LENGTH + 4).astype(np.uint8) for _ in range(2))
+    body = np.concatenate([a, b, a])
+    at = np.concatenate([np.arange(5) + k * len(a) for k in range(3)])
+    run = np.repeat(np.arange(3), 5)
+    assert suffix_dedup._equal_windows(body, at, run, np.tile(np.arange(5), 3)).tolist() == [False] * 10 + [True] * 5
 
 
 def test_suffix_anchors_do_not_move():
