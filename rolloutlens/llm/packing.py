@@ -2,8 +2,9 @@
 
 Only the length histogram (at most ``capacity`` rows, whatever the corpus) goes to the driver. There the configuration
 linear program - how often to use each multiset of lengths that fits a sequence - is solved by multiplicative weights:
-a length that is covered loses weight, and the next configuration is the best one at these weights, found by a
-knapsack dynamic program. The solution is rounded down; what it leaves is packed best-fit decreasing, on counts of equal lengths.
+a length that is covered loses weight, and the next configurations are the best ones at these weights, found by a
+knapsack dynamic program. The solution is rounded down, what it leaves is solved and rounded again, and the rest is packed best-fit decreasing, on counts of
+equal lengths. The weights also give a lower bound of the number of sequences.
 Spark gives each piece its rank among pieces of its length, and the plan turns length and rank into a place.
 """
 
@@ -47,47 +48,58 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, kind: str, end_id: int, cap
     return id_and_text(docs).mapInArrow(cut, PIECES)
 
 
-def _best_configuration(price: np.ndarray, sizes: np.ndarray, capacity: int) -> Counter:
-    """The multiset of sizes within capacity of the highest total price: unbounded knapsack."""
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(sizes[0]), capacity + 1):
-        n = int(np.searchsorted(sizes, c, "right"))
-        got = value[c - sizes[:n]] + price[:n]
-        k = int(np.argmax(got))
-        if got[k] >= value[c - 1]:
-            value[c], choice[c] = got[k], k
-        else:
-            value[c] = value[c - 1]
-    found, c = Counter(), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        found[int(sizes[choice[c]])] += 1
-        c -= int(sizes[choice[c]])
-    return found
-
-
-def solve_configurations(demand: dict[int, int], capacity: int, rounds: int, rate: float = 1.0) -> list[tuple[tuple[tuple[int, int], ...], float]]:
-    """(configuration, number of times): an approximate solution of the configuration linear program.
-
-    Each round adds the best configuration as often as covers a quarter of its scarcest length's demand.
+def best_configurations(price: np.ndarray, capacity: int) -> tuple[np.ndarray, list[Counter]]:
+    """For each row of ``price`` (by length, -inf for lengths that aren't there) the multiset of lengths within capacity of the highest total price, and that price.
+
+    Unbounded knapsack for all rows at once. ``back`` holds the values in falling order of capacity, so that each step reads one slice.
+    """
+    lengths, rows = np.flatnonzero(np.isfinite(price[0])), np.arange(len(price))
+    least, most = int(lengths[0]), int(lengths[-1])
+    back, choice = np.zeros((len(price), capacity + 1)), np.zeros((len(price), capacity + 1), np.int32)
+    for c in range(least, capacity + 1):
+        end = min(c, most) + 1
+        got = back[:, capacity - c + least : capacity - c + end] + price[:, least:end]
+        at = got.argmax(axis=1)
+        top, before = got[rows, at], back[:, capacity - c + 1]
+        choice[:, c] = np.where(top >= before, at + least, 0)
+        back[:, capacity - c] = np.maximum(top, before)
+    out = []
+    for row in choice:
+        found, c = Counter(), capacity
+        while c > 0:
+            found[int(row[c])] += 1
+            c -= int(row[c]) or 1
+        del found[0]
+        out.append(found)
+    return back[:, 0], out
+
+
+def solve_configurations(demand: dict[int, int], capacity: int, rounds: int, width: int = 8, rate: float = 3.0) -> tuple[list[tuple[tuple[tuple[int, int], ...], float]], float]:
+    """(configuration, number of times) of an approximate solution of the configuration linear program, and a lower bound of its value.
+
+    A length's weight falls with the share of its demand that is covered. Each round prices ``width`` variations of the weights and adds the best configuration of
+    each as often as covers half of its scarcest length's demand. Weights are prices of the dual program: divided by what the best configuration
+    costs at them, they bound the number of sequences from below. The bound is the best of those of the rounds, of their mean, and of the size.
     """
     sizes = np.array(sorted(demand))
     need = np.array([demand[s] for s in sizes], float)
-    weight, covered = sizes / capacity, np.zeros(len(sizes))
-    times: Counter = Counter()
+    by_size, covered, total = sizes / capacity, np.zeros(len(sizes)), np.zeros(len(sizes))
+    noise, price, times, bound = np.random.default_rng(1), np.full((width, capacity + 1), -np.inf), Counter(), float(need @ sizes) / capacity
     for _ in range(rounds):
-        found = _best_configuration(weight, sizes, capacity)
-        at = np.searchsorted(sizes, list(found))
-        count = np.array(list(found.values()), float)
-        step = float(np.min(need[at] / count)) / 4
-        times[tuple(sorted(found.items()))] += step
-        covered[at] += count * step / need[at]
-        weight = sizes / capacity * np.exp(-rate * (covered - covered.min()))
+        weight = by_size * np.exp(-rate * (covered - covered.min()))
+        total += weight / (weight @ need)
+        price[:, sizes] = weight * np.exp(0.1 * noise.standard_normal((width, len(sizes))))
+        price[0, sizes], price[-1, sizes] = weight, total
+        worth, found = best_configurations(price, capacity)
+        bound = max(bound, float(weight @ need) / worth[0], float(total @ need) / worth[-1])
+        for f in found:
+            at, count = np.searchsorted(sizes, list(f)), np.array(list(f.values()), float)
+            step = float(np.min(need[at] / count)) / 2
+            times[tuple(sorted(f.items()))] += step
+            covered[at] += count * step / need[at]
         if covered.min() >= 1:
             break
-    return [(c, t / max(1.0, float(np.median(covered)))) for c, t in times.items()]
+    return list(times.items()), bound
 
 
 def _best_fit(demand: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -119,26 +131,53 @@ def _best_fit(demand: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[i
     return done + [x for some in bins.values() for x in some]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 400, passes: int = 3) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """(content, copies) over all sequences; content is (length, count) pairs. Its size depends on the lengths, not on the number of pieces."""
-    left = Counter(histogram)
-    out = []
-    if left.get(capacity):
-        out.append((((capacity, 1),), left.pop(capacity)))
-    for _ in range(passes):
+Plan = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def _rounded(histogram: dict[int, int], capacity: int, rounds: int, passes: int, whole: bool) -> tuple[Plan, float]:
+    """(content, copies) and the lower bound: the linear program's configurations (only ones without a gap if ``whole``), rounded down, again for what is left, then best fit."""
+    left, out, bound = Counter(histogram), [], 0.0
+    for k in range(passes):
         if not left:
             break
-        for content, times in sorted(solve_configurations(left, capacity, rounds), key=lambda x: -x[1]):
+        found, least = solve_configurations(left, capacity, rounds)
+        bound = bound or least
+        before = len(out)
+        for content, times in sorted(found, key=lambda x: (-sum(s * n for s, n in x[0]), -x[1])):
             copies = min(int(times), *(left[s] // n for s, n in content))
-            if copies and sum(s * n for s, n in content) == capacity:
+            if copies and (not whole or sum(s * n for s, n in content) == capacity):
                 out.append((content, copies))
                 for s, n in content:
                     left[s] -= n * copies
         left = Counter({s: n for s, n in left.items() if n})
-    return out + _best_fit(left, capacity)
+        if len(out) == before:
+            break
+    return out + _best_fit(left, capacity), bound
+
+
+def plan_with_bound(histogram: dict[int, int], capacity: int, rounds: int = 100, passes: int = 3) -> tuple[Plan, int]:
+    """(content, copies) over all sequences, content being (length, count) pairs, and how many sequences any plan needs at least.
+
+    Lengths that combine without gaps are tried first; if that takes more than a sequence for each length above the bound, configurations with gaps
+    are used too, and the shorter plan counts. A plan's size depends on the lengths, not on the number of pieces.
+    """
+    rest = Counter(histogram)
+    full = [(((capacity, 1),), rest.pop(capacity))] if rest.get(capacity) else []
+    plans, bound = [], 0.0
+    for whole in (True, False):
+        plan, least = _rounded(rest, capacity, rounds, passes, whole)
+        plans.append(plan)
+        bound = max(bound, least)
+        if sum(n for _, n in plan) <= bound + len(rest):
+            break
+    return full + min(plans, key=lambda p: sum(n for _, n in p)), sum(n for _, n in full) + int(np.ceil(bound - 1e-6))
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 100, passes: int = 3) -> Plan:
+    return plan_with_bound(histogram, capacity, rounds, passes)[0]
 
 
-def place_pieces(pieces: DataFrame, capacity: int, rounds: int = 400) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int, rounds: int = 100) -> DataFrame:
     """Rows of PIECES with sequence_id and offset. ``pieces`` must be a written table: it's read three times."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, base, ranks = [], 0, Counter()
