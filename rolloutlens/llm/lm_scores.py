@@ -1,8 +1,8 @@
 """Stupid-backoff scores of documents under counts of the whole corpus, the document itself left out.
 
-The join of exploded n-grams with count tables, in packed rows: documents are written in blocks, a block's distinct n-grams of all orders go with their counts to
+The join of exploded n-grams with count tables, in packed rows: documents are written in blocks, a block's distinct n-grams go with their counts to
 hash partitions, each of which holds one slice of the count table; there the counts are summed and joined to what each block sent, and the totals go back
-to the blocks, which look them up for every n-gram of each document and sum. Row by row, with a key and a document id for each n-gram, the same join would
+to the blocks, which look them up for every n-gram of each document and sum. Trigrams are sent after the answers about bigrams, and only those that these don't rule out. Row by row, with a key and a document id for each n-gram, the same join would
 shuffle some 16 bytes for each word and order; packed and sorted, an n-gram costs a block about 6 bytes, once.
 A very common n-gram is one entry for each block. Texts are compressed and move once.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolloutlens.llm.blocks import blocks_of, dids_of, rows_of, texts_of
-from rolloutlens.llm.common import drop_files, from_planes, ngrams, planes, real_id, word_hashes, written
+from rolloutlens.llm.common import drop_files, from_planes, ngrams, planes, real_id, release_shuffles, word_hashes, written
 
 #: What a step down costs (the fixed value of the method).
 BACKOFF = 0.4
@@ -35,8 +36,9 @@ def _words(row: dict) -> list[np.ndarray]:
     return [word_hashes(t.split()) for t in texts_of(row)]
 
 
-def _grams(words: list[np.ndarray], order: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(ngrams(w, order) for w in words)])
+def _stages(orders: int) -> list[tuple[int, ...]]:
+    """The orders that are exchanged together: an n-gram of three words or more is only sent if both its parts of one word less occur in other documents, as it can't otherwise."""
+    return [tuple(range(1, min(orders, 2) + 1)), *((n,) for n in range(3, orders + 1))]
 
 
 def _slices_of(keys: np.ndarray, partitions: int) -> list[tuple[int, int, int]]:
@@ -46,55 +48,98 @@ def _slices_of(keys: np.ndarray, partitions: int) -> list[tuple[int, int, int]]:
     return [(int(part[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def _count(orders: int, partitions: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Block:
+    """A block's words, and by order how often the n-gram that ends at a word occurs in other documents."""
+
+    def __init__(self, row: dict):
+        self.words = _words(row)
+        self.n = np.array([len(w) for w in self.words])
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        self.place = (np.arange(len(self.doc)) - np.repeat(np.cumsum(self.n) - self.n, self.n)).astype(np.int32)
+        self.others: list[np.ndarray] = []
+
+    def sent(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where, n-grams): the words at which n-grams of the order end that are sent."""
+        whole = np.flatnonzero(self.place >= order - 1)
+        grams = np.concatenate([np.zeros(0, np.uint64), *(ngrams(w, order) for w in self.words)])
+        if order < 3:
+            return whole, grams
+        seen = self.others[order - 2] > 0
+        both = seen[whole] & seen[whole - 1]
+        return whole[both], grams[both]
+
+    def take(self, stage: tuple[int, ...], answers: dict[int, bytes], partitions: int) -> None:
+        found = [self.sent(order) for order in stage]
+        keys, at = np.unique(np.concatenate([g for _, g in found]), return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        for p, a, b in _slices_of(keys, partitions):
+            sums[a:b] = from_planes(answers[p], 6)
+        for where, of in zip([w for w, _ in found], np.split(at, np.cumsum([len(g) for _, g in found])[:-1]), strict=True):
+            _, same, own = np.unique(self.doc[where].astype(np.int64) * (len(keys) + 1) + of, return_inverse=True, return_counts=True)
+            left = np.zeros(len(self.doc), np.int64)
+            left[where] = sums[of] - own[same]
+            self.others.append(left)
+
+
+def _answered(row: dict, totals: list[dict], stages: list[tuple[int, ...]], partitions: int) -> _Block:
+    block = _Block(row)
+    for k, stage in enumerate(stages):
+        block.take(stage, {r["p"]: r["totals"] for r in totals if r["stage"] == k}, partitions)
+    return block
+
+
+def _pieces(block: _Block, name: int, stage: tuple[int, ...], partitions: int) -> pa.Table:
+    keys, counts = np.unique(np.concatenate([block.sent(order)[1] for order in stage]), return_counts=True)
+    rows = [(p, name, planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), planes(counts[a:b], 4)) for p, a, b in _slices_of(keys, partitions)]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["p", "block", "keys", "counts"])
+
+
+def _totals(stage: int):
+    def total(table: pa.Table) -> pa.Table:
+        """For one hash partition: sum the counts of each n-gram and answer each block with the totals of what it sent, in its order."""
+        keys = [np.cumsum(from_planes(x, 8)) for x in table["keys"].to_pylist()]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        values, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([from_planes(x, 4) for x in table["counts"].to_pylist()])
+        sums = np.bincount(at, counts, len(values)).astype(np.int64)[at]
+        return pa.table([table["block"], pa.array(np.full(len(keys), stage, np.int32)), table["p"], pa.array([planes(x, 6) for x in np.split(sums, cuts)], pa.binary())], ["block", "stage", "p", "totals"])
+
+    return total
+
+
+def exchanged(blocks: DataFrame, orders: int, partitions: int) -> list[DataFrame]:
+    """(block, stage, p, totals), a table for each of ``_stages``: how often the n-grams that a block sent to a partition occur in the corpus, in its order."""
+    stages, tables = _stages(orders), []
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            words = _words(row)
-            keys, counts = np.unique(np.concatenate([_grams(words, n) for n in range(1, orders + 1)]), return_counts=True)
-            rows = [(p, row["block"], planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), planes(counts[a:b], 4)) for p, a, b in _slices_of(keys, partitions)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["p", "block", "keys", "counts"])
+            yield from _pieces(_Block(row), row["block"], stages[0], partitions).to_batches()
 
-    return count
+    def later(k: int):
+        def count(block: pa.Table, totals: pa.Table) -> pa.Table:
+            (row,) = block.to_pylist()
+            return _pieces(_answered(row, totals.to_pylist(), stages[:k], partitions), row["block"], stages[k], partitions)
 
+        return count
 
-def _totals(table: pa.Table) -> pa.Table:
-    """For one hash partition: sum the counts of each n-gram and answer each block with the totals of what it sent, in its order."""
-    keys = [np.cumsum(from_planes(x, 8)) for x in table["keys"].to_pylist()]
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    values, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([from_planes(x, 4) for x in table["counts"].to_pylist()])
-    sums = np.bincount(at, counts, len(values)).astype(np.int64)[at]
-    return pa.table([table["block"], table["p"], pa.array([planes(x, 6) for x in np.split(sums, cuts)], pa.binary())], ["block", "p", "totals"])
+    for k in range(len(stages)):
+        sent = blocks.groupBy("block").cogroup(reduce(DataFrame.unionAll, tables).groupBy("block")).applyInArrow(later(k), _SENT) if k else blocks.mapInArrow(first, _SENT)
+        tables.append(written(sent.groupBy("p").applyInArrow(_totals(k), "block long, stage int, p int, totals binary"), "lm-totals", compression="zstd"))
+        release_shuffles(blocks.sparkSession)
+    return tables
 
 
 def _block_scores(orders: int, partitions: int):
-    def score(block: pa.Table, totals: pa.Table) -> pa.Table:
-        (row,) = block.to_pylist()
-        words = _words(row)
-        n = np.array([len(w) for w in words])
-        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        place = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        grams = [_grams(words, k) for k in range(1, orders + 1)]
-        ends = np.cumsum([len(g) for g in grams])
-        keys, at = np.unique(np.concatenate(grams), return_inverse=True)
-        del grams, words
-        answers = dict(zip(totals["p"].to_pylist(), totals["totals"].to_pylist(), strict=True))
-        sums = np.zeros(len(keys), np.int64)
-        for p, a, b in _slices_of(keys, partitions):
-            sums[a:b] = from_planes(answers.pop(p), 6)
-        others = []  # by order and word: how often the n-gram that ends here occurs in other documents
-        for order, of in enumerate(np.split(at, ends[:-1]), 1):
-            here = place >= order - 1
-            _, same, own = np.unique(doc[here].astype(np.int64) * (len(keys) + 1) + of, return_inverse=True, return_counts=True)
-            left = np.zeros(len(doc), np.int64)
-            left[here] = sums[of] - own[same]
-            others.append(left)
+    def score(table: pa.Table, totals: pa.Table) -> pa.Table:
+        (row,) = table.to_pylist()
+        block = _answered(row, totals.to_pylist(), _stages(orders), partitions)
+        doc, n, others = block.doc, block.n, block.others
         log = np.zeros(len(doc))
         used = np.zeros(len(doc), np.int8)
-        history = np.minimum(place, orders - 1)  # words before that the model looks at
+        history = np.minimum(block.place, orders - 1)  # words before that the model looks at
         for order in range(orders, 1, -1):
-            where = np.flatnonzero((used == 0) & (place >= order - 1) & (others[order - 1] > 0))
+            where = np.flatnonzero((used == 0) & (others[order - 1] > 0))
             log[where] = np.log(others[order - 1][where] / others[order - 2][where - 1]) + (history[where] - (order - 1)) * math.log(BACKOFF)
             used[where] = order
         rest = np.flatnonzero(used == 0)
@@ -116,12 +161,11 @@ def lm_scores(docs: DataFrame, orders: int = 3) -> DataFrame:
     """
     blocks = written(blocks_of(docs), "lm-blocks")
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
-    partitions = max(12, size * orders // 9 // PARTITION)  # a word and its space are 6 to 7 bytes, and a third of a block's n-grams repeat
-    sent = blocks.mapInArrow(_count(orders, partitions), _SENT)
-    totals = sent.groupBy("p").applyInArrow(_totals, "block long, p int, totals binary")
-    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_block_scores(orders, partitions), "did long, n_words long, used array<long>, log_sum double")
+    partitions = max(12, size // 5 // PARTITION)  # a word and its space are 6 to 7 bytes; unigrams and bigrams, of which a third repeat in a block
+    totals = exchanged(blocks, orders, partitions)
+    scored = blocks.groupBy("block").cogroup(reduce(DataFrame.unionAll, totals).groupBy("block")).applyInArrow(_block_scores(orders, partitions), "did long, n_words long, used array<long>, log_sum double")
     scored = written(scored, "lm-scores")
-    drop_files(docs.sparkSession, blocks)
+    drop_files(docs.sparkSession, blocks, *totals)
     words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
     score = F.col("log_sum") - F.col("used")[0] * F.log(F.greatest(F.col("words") - F.col("n_words"), F.lit(1)))
     return scored.crossJoin(words).select(real_id().alias("doc_id"), "n_words", "used", score.alias("score"), F.try_divide(score, "n_words").alias("mean_score"))  # words is one row
