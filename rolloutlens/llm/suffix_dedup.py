@@ -28,9 +28,9 @@ from rolloutlens.llm.common import drop_files, from_planes, mix, new_path, plane
 #: Bytes of a string that counts as repeated, and of the anchor inside it.
 LENGTH, ANCHOR = 100, 32
 #: Suffixes in a hash partition, and window starts of a text worked on at a time.
-PARTITION, SEGMENT = 500_000, 4 << 20
+PARTITION, SEGMENT = 250_000, 4 << 20
 #: A suffix stands for some 35 windows, so their hash partitions are smaller by this factor.
-WINDOWS_EACH = 4
+WINDOWS_EACH = 8
 #: Suffixes that share an anchor, at least, for its windows to be dealt one by one.
 HOT = 2_000
 _BASE, _BASE2, _BASE3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
@@ -208,9 +208,16 @@ class SuffixFamily:
         return self._table(SCHEMA, *self.state["texts"])
 
     def shared(self) -> DataFrame:
-        """(block, parts): the numbers of a block's shared anchors, as arrays of 32 bits."""
-        found = self._table("kind string, block long, ords binary", *self.state["reports"])
-        return found.where("kind = 'shared'").groupBy("block").agg(F.collect_list("ords").alias("parts"))
+        """(block, shared): for each of a block's anchors, up to the last shared one, a bit."""
+
+        def bits(table: pa.Table) -> pa.Table:
+            ords = np.concatenate([np.frombuffer(x, "<i4") for x in table["ords"].to_pylist()])
+            found = np.zeros(int(ords.max()) + 1, bool)
+            found[ords] = True
+            return pa.table([table["block"].slice(0, 1), pa.array([_zip(np.packbits(found).tobytes())], pa.binary())], ["block", "shared"])
+
+        found = self._table("kind string, block long, ords binary", *self.state["reports"]).where("kind = 'shared'")
+        return found.select("block", "ords").groupBy("block").applyInArrow(bits, "block long, shared binary")
 
     def heavy(self) -> np.ndarray:
         """Fingerprints of the anchors that the family's hot number of suffixes or more share: at most all suffixes / hot, 65,536 as ``suffix_dedup`` sets it."""
@@ -227,11 +234,11 @@ class SuffixFamily:
         drop_files(self.spark, *self.state["texts"], *self.state["reports"])
 
 
-_WINDOWS = "kind string, q int, block long, fp binary, did binary, th binary, doc binary, first binary, count binary, body binary"
+_WINDOWS = "kind string, q int, block long, runs binary, body binary"
 
 
 def _window_pieces(blocks: DataFrame, partitions: int, heavy: np.ndarray) -> DataFrame:
-    """Windows of ``blocks`` (with parts) at shared anchors: kind "windows" packed with their bytes, "hot" window by window with a second hash, "gone" for runs that the block has met earlier."""
+    """Windows of ``blocks`` (with shared) at shared anchors: kind "windows" packed with their bytes, "hot" window by window with a second hash, "gone" for runs that the block has met earlier."""
 
     shared = blocks.sparkSession.sparkContext.broadcast(heavy)
 
@@ -240,7 +247,7 @@ def _window_pieces(blocks: DataFrame, partitions: int, heavy: np.ndarray) -> Dat
             yield from one(row)
 
     def one(row: dict) -> Iterator[pa.RecordBatch]:
-        wanted = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in row["parts"]]))
+        wanted = np.flatnonzero(np.unpackbits(np.frombuffer(_unzip(row["shared"]), np.uint8)))
         held, before = [], 0
         for doc, (did, text) in enumerate(zip(dids_of(row).tolist(), texts_of(row), strict=True)):
             fp, _, first, count = anchors(text)
@@ -266,12 +273,12 @@ def _window_pieces(blocks: DataFrame, partitions: int, heavy: np.ndarray) -> Dat
                 pieces.setdefault((kind, (f >> 20) % partitions), []).append((f, did, th, doc, a, n, body))
         out = []
         for (kind, q), rows in pieces.items():
-            *cols, body = zip(*rows, strict=True)
-            types = (np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)
-            out.append((kind, q, row["block"], *[np.array(x, t).tobytes() for x, t in zip(cols, types, strict=True)], b"" if kind == "gone" else b"".join(body)))
+            prints, *cols, body = zip(*rows, strict=True)
+            runs = np.array(prints, np.uint64).tobytes() + np.array(cols, np.int64).tobytes()
+            out.append((kind, q, row["block"], _zip(runs), b"" if kind == "gone" else _zip(b"".join(body))))
         if out:
-            types = (pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 7)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "q", "block", "fp", "did", "th", "doc", "first", "count", "body"])
+            types = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "q", "block", "runs", "body"])
 
     return blocks.mapInArrow(cut, _WINDOWS)
 
@@ -288,8 +295,8 @@ def _equal_windows(body: np.ndarray, at: np.ndarray, run: np.ndarray, key: np.nd
     last = np.flatnonzero(follows)
     right[last] = body[at[last] + LENGTH - 1] == body[model[last] + LENGTH - 1]  # its other bytes are in the window before
     heads, span = np.flatnonzero(repeat & ~follows), np.arange(LENGTH)
-    for a in range(0, len(heads), 50_000):
-        some = heads[a : a + 50_000]
+    for a in range(0, len(heads), 10_000):
+        some = heads[a : a + 10_000]
         right[some] = (body[at[some, None] + span] == body[model[some, None] + span]).all(axis=1)
     if not right.all():  # different windows share a key: tell them apart by their bytes
         wrong = np.isin(key, key[~right])
@@ -313,14 +320,14 @@ def _repeats(table: pa.Table) -> pa.Table:
     """(block, ranges): byte ranges that repeated windows cover, for one hash partition."""
     out, live, hot = [np.zeros((4, 0), np.int64)], [], []
     for r in table.to_pylist():
-        cols = [np.frombuffer(r[c], np.int64) for c in ("fp", "did", "th", "doc", "first", "count")]
+        cols = list(np.frombuffer(_unzip(r["runs"]), np.int64).reshape(6, -1))  # fp, did, th, doc, first, count
         block = np.full(len(cols[0]), r["block"])
         if r["kind"] == "gone":
             out.append(np.array([block, cols[3], cols[4], cols[4] + cols[5] + LENGTH - 1]))
         elif r["kind"] == "hot":
-            hot.append([*cols, block, np.frombuffer(r["body"], np.int64)])
+            hot.append([*cols, block, np.frombuffer(_unzip(r["body"]), np.int64)])
         else:
-            live.append(([*cols, block], r["body"]))
+            live.append(([*cols, block], _unzip(r["body"])))
     if hot:
         key, did, th, doc, first, _, block, key2 = map(np.concatenate, zip(*hot, strict=True))
         order = np.lexsort((first, th, did, key2, key))
