@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from rolloutlens.llm.common import as_bytes, drop_files, from_planes, id_and_text, planes, real_id, release_shuffles, shingle_set, slices, written
 from rolloutlens.llm.components import components
 
-#: Shingles in one hash partition. Shingles in COMMON_AT texts or more are ordered by how many, if they make up 1 / MOST_COMMON of all shingles of all texts or more;
-#: so there are fewer than MOST_COMMON of them at any input size.
-PARTITION, COMMON_AT, MOST_COMMON = 2_000_000, 8, 1 << 20
+#: Shingles in one hash partition. Shingles in COMMON_AT texts or more are ordered by how many; CELLS bytes hold that order at any input size.
+PARTITION, COMMON_AT, CELLS = 2_000_000, 4, 1 << 22
 #: Shingles of a set for each further meeting; postings of the very common shingles that share a hash partition.
 MEET_EACH, SPLIT = 64, 100_000
 #: Short lists of a node that the first round looks at, about; bits of a node's parity sketch, in whole longs; nodes that one is held against in the second round.
 FIRST_LISTS, SKETCH_BITS, NEAREST = 16, 512, 2
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -61,18 +61,17 @@ def _aside(n: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * n / 100) - (1 + F.floor(n / MEET_EACH))
 
 
-def _by_partition(values: np.ndarray, partitions: int, salt: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """Runs of 64-bit ``values`` by their upper half, and salt, modulo the number of partitions: (partition, positions in ascending order of values)."""
-    upper = values >> np.uint64(32)
-    part = ((upper if salt is None else upper + salt) % np.uint64(partitions)).astype(np.int64)
-    order = np.lexsort((values, part))
+def _by_partition(values: np.ndarray, by: np.ndarray, partitions: int, salt: int | np.ndarray = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of 64-bit ``values`` by their upper half, and salt, modulo the number of partitions: (partition, positions in ascending order of ``by``)."""
+    part = (((values >> np.uint64(32)) + np.uint64(salt)) % np.uint64(partitions)).astype(np.int64)
+    order = np.lexsort((by, part))
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for run in np.split(order, cuts) if len(order) else []:
         yield int(part[run[0]]), run
 
 
-def _ascending(values: np.ndarray) -> bytes:
-    return planes(np.diff(values, prepend=np.uint64(0)), 8)
+def _ascending(values: np.ndarray, width: int = 8) -> bytes:
+    return planes(np.diff(values, prepend=np.uint64(0)), width)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +91,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(sign, "did long, n long, node long, sketch array<long>")
 
 
-def common_shingles(docs: DataFrame, partitions: int, at_least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) of the shingles that ``at_least`` texts hold, counted over all texts; sorted by shingle."""
+def common_shingles(docs: DataFrame, partitions: int) -> np.ndarray:
+    """By cell, a shingle modulo CELLS, eight times the binary logarithm of how many texts hold its most common shingle, or 0 if fewer than COMMON_AT do.
+
+    All texts are counted. Shingles travel as 32 bits inside a hash partition, so those that share them are counted together; that and shared cells only move a shingle in the order.
+    """
 
     def part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -102,7 +104,8 @@ def common_shingles(docs: DataFrame, partitions: int, at_least: int) -> tuple[np
             if held:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                yield from _batch([(p, _ascending(values[at]), planes(counts[at], 4)) for p, at in _by_partition(values, partitions)], ["p", "shingle", "count"])
+                low = values & _LOW
+                yield from _batch([(p, _ascending(low[at], 4), planes(counts[at], 4)) for p, at in _by_partition(values, low, partitions)], ["p", "low", "count"])
 
         for batch in slices(batches):
             held += [shingle_set(x) for x in as_bytes(batch.column("text"))]
@@ -111,42 +114,38 @@ def common_shingles(docs: DataFrame, partitions: int, at_least: int) -> tuple[np
         yield from flush()
 
     def common(table: pa.Table) -> pa.Table:
-        values = np.concatenate([np.cumsum(from_planes(x, 8)) for x in table["shingle"].to_pylist()])
+        values = np.concatenate([np.cumsum(from_planes(x, 4)) for x in table["low"].to_pylist()])
         counts = np.concatenate([from_planes(x, 4) for x in table["count"].to_pylist()]).astype(np.int64)
         order = np.argsort(values, kind="stable")
         values, counts = values[order], counts[order]
         starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
         total = np.add.reduceat(counts, starts)
-        keep = total >= at_least
-        return pa.table([pa.array(values[starts][keep].view(np.int64)), pa.array(total[keep])], ["shingle", "n"])
+        keep = total >= COMMON_AT
+        return pa.table([pa.array((values[starts][keep] % np.uint64(CELLS)).astype(np.int32)), pa.array(total[keep])], ["cell", "n"])
 
-    pieces = id_and_text(docs).mapInArrow(part_counts, "p int, shingle binary, count binary")
-    found = pieces.groupBy("p").applyInArrow(common, "shingle long, n long").toArrow()  # fewer than MOST_COMMON
-    values, counts = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(values)
-    return values[order], counts[order]
+    pieces = id_and_text(docs).mapInArrow(part_counts, "p int, low binary, count binary")
+    found = pieces.groupBy("p").applyInArrow(common, "cell int, n long").groupBy("cell").agg(F.max("n").alias("n")).toArrow()  # CELLS rows at most
+    classes = np.zeros(CELLS, np.uint8)
+    classes[found["cell"].to_numpy()] = np.minimum(255, 8 * np.log2(found["n"].to_numpy()))
+    return classes
 
 
 class Order:
-    """Rarest first: shingles that aren't common by hash, then the common ones by their count."""
+    """Rarest first: by the class of a shingle's cell, then by hash."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts = keys, counts
+    def __init__(self, classes: np.ndarray):
+        self.classes = classes
 
-    def count(self, shingles: np.ndarray) -> np.ndarray:
-        """The counts of common shingles, 0 for others."""
-        if not len(self.keys):
-            return np.zeros(len(shingles), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-        return np.where(self.keys[at] == shingles, self.counts[at], 0)
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        return self.classes[((shingles & _LOW) % np.uint64(CELLS)).astype(np.int64)]
 
     def prefix(self, shingles: np.ndarray, length: int) -> np.ndarray:
-        return shingles[np.argsort(self.count(shingles), kind="stable")[:length]]
+        return shingles[np.argsort(self.of(shingles), kind="stable")[:length]]
 
 
 def short_lists(docs: DataFrame, order: Order, partitions: int, percent: int) -> DataFrame:
     """(shingle, node, n) of all short inverted lists with two nodes or more. The list of a very common shingle is dealt over several partitions by node."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # fewer than MOST_COMMON entries
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # CELLS bytes
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = shared.value
@@ -157,8 +156,8 @@ def short_lists(docs: DataFrame, order: Order, partitions: int, percent: int) ->
                 values = np.concatenate([x for _, _, x in held])
                 lengths = [len(x) for _, _, x in held]
                 nodes, sizes = (np.repeat(np.array(x, np.int64), lengths) for x in list(zip(*held, strict=True))[:2])
-                ways = (ordered.count(values) // SPLIT + 1).astype(np.uint64)
-                rows = [(p, _ascending(values[at]), nodes[at].tobytes(), planes(sizes[at], 4)) for p, at in _by_partition(values, partitions, nodes.view(np.uint64) % ways)]
+                ways = np.maximum(1, np.exp2(ordered.of(values) / 8) // SPLIT).astype(np.uint64)
+                rows = [(p, _ascending(values[at]), nodes[at].tobytes(), planes(sizes[at], 4)) for p, at in _by_partition(values, values, partitions, nodes.view(np.uint64) % ways)]
                 yield from _batch(rows, ["p", "shingle", "node", "n"])
                 held.clear()
 
@@ -183,7 +182,7 @@ def short_lists(docs: DataFrame, order: Order, partitions: int, percent: int) ->
         new = np.append(True, (s[1:] != s[:-1]) | (node[1:] != node[:-1]))  # copies in other tasks
         s, node, n = s[new], node[new], n[new]
         starts = np.append(True, s[1:] != s[:-1])
-        keep = ~(starts & np.append(starts[1:], True)) | (shared.value.count(s) >= SPLIT)
+        keep = ~(starts & np.append(starts[1:], True)) | (shared.value.of(s) >= 8 * np.log2(2 * SPLIT))  # a split list is kept in all its parts
         return pa.table([pa.array(s[keep].view(np.int64)), pa.array(node[keep]), pa.array(n[keep])], ["shingle", "node", "n"])
 
     pieces = id_and_text(docs).mapInArrow(post, "p int, shingle binary, node binary, n binary")
@@ -274,7 +273,8 @@ def _nearest_owners(mixed: DataFrame, percent: int) -> DataFrame:
     named = [pick(entry, F.xxhash64("shingle", "node", F.lit(k))) for k in range(2) for pick in (F.min_by, F.max_by)]
     owners = mixed.groupBy("shingle").agg(F.array_distinct(F.array(*named)).alias("named")).select("shingle", F.explode("named").alias("o"))
     met = mixed.withColumnRenamed("node", "a").join(owners.select("shingle", *[F.col(f"o.{c}").alias(to) for c, to in _OTHERS.items()]), "shingle")
-    near = met.where((F.col("component") != F.col("other")) & _may_link(percent)).select("a", "b", _differ().alias("d")).distinct()
+    telling = F.col("n") + F.col("m") - 2 * _need(percent) < 0.4 * SKETCH_BITS  # sketches of larger sets differ in half their bits, whatever they hold
+    near = met.where((F.col("component") != F.col("other")) & telling & _may_link(percent)).select("a", "b", _differ().alias("d")).distinct()
     turn = Window.partitionBy("a").orderBy("d", "b")
     near = near.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= NEAREST)
     return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -299,7 +299,7 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     signs = written(signatures(docs), "signs")
     total = signs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     partitions = max(12, -(-total // PARTITION))
-    order = Order(*common_shingles(docs, partitions, max(COMMON_AT, total // MOST_COMMON + 1)))
+    order = Order(common_shingles(docs, partitions))
     release_shuffles(spark)
     lists = written(short_lists(docs, order, partitions, percent), "lists")
     release_shuffles(spark)
