@@ -161,8 +161,10 @@ def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = firsts.where("wrong is not null").select("problem_id", "arm", "concept", "wrong", words(F.col("wrong.response")).alias("w"), F.size(words(F.coalesce("right", F.lit("")))).alias("n_right"), "right")
     n = F.size("w")
     grams = F.when(n >= 5, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<string>"))
-    held = rows.withColumn("g", grams)
-    repeated = F.size(F.filter("g", lambda x: F.size(F.filter("g", lambda y: x == y)) >= 3))
+    held = rows.withColumn("g", F.sort_array(grams))
+    like = lambda i, a, b: (F.get("g", i + a) == F.get("g", i)) & (F.get("g", i + b) == F.get("g", i))
+    # in order, one of three equal ones or more has two equal neighbours
+    repeated = F.size(F.filter(F.sequence(F.lit(0), F.size("g")), lambda i: F.coalesce(like(i, 1, 2), F.lit(False)) | F.coalesce(like(i, -1, 1), F.lit(False)) | F.coalesce(like(i, -2, -1), F.lit(False))))
     mode = (
         F.when(F.col("wrong.method") == "no_answer", "format_failure")
         .when(F.col("right").isNotNull() & (10 * n < 4 * F.col("n_right")) & (n < 50), "early_termination")

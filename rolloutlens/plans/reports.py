@@ -5,32 +5,25 @@ from __future__ import annotations
 _RATE = "cast(count(*) filter (where {}) as double) / count(*)".format
 _DEDUPED = "select * from (select *, row_number() over (partition by problem order by row_id {}) as rn from @pool) x where rn = 1".format
 _DRAW = "md5(concat('42:', cast({} as string)))".format
-_SPLIT = f"""with d as ({_DEDUPED("")}),
-ranked as (select row_id, problem, concept, row_number() over (partition by concept order by {_DRAW("row_id")}) as r, count(*) over (partition by concept) as n_c from d),
-sizes as (select concept, n_c, row_number() over (order by concept) as rank_c, count(*) over () as k, least(100, floor(sum(n_c) over () / 5)) as want from (select distinct concept, n_c from ranked) s),
-quota as (select concept, least(n_c, floor(want / k) + case when rank_c <= want % k then 1 else 0 end) as q, want from sizes),
-first as (select r.*, q.want, r.r <= q.q as taken from ranked r join quota q on r.concept = q.concept),
-extra as (select *, row_number() over (partition by taken order by {_DRAW("row_id")}) as e, cast(sum(case when taken then 1 else 0 end) over () as bigint) as have from first)
-"""
 
 QUERIES: dict[str, str] = {
     # grading
     "grade_method_counts": "select method, count(*) as n, count(*) filter (where ok) as n_correct from @graded group by method",
     "grade_rollouts": "select problem_id, arm, rollout_idx, pred, method, case when ok then 1e0 else 0e0 end as reward from @graded",
     "calib_zones": "select concept, arm, zone, count(*) as n from @calib group by concept, arm, zone",
-    "sweet_spot_bands": "select problem_id, arm, correct, case when correct < 2 then 'hard' when correct <= 6 then 'sweet' else 'easy' end as band from @calib where n = 8",
+    "sweet_spot_bands": "select problem_id, arm, correct, case when 4 * correct < n then 'hard' when 4 * correct <= 3 * n then 'sweet' else 'easy' end as band from @calib",
     # calibration
     "calib_problem": """select problem_id, arm, concept, count(*) as n, count(*) filter (where ok) as correct, avg(case when ok then 1e0 else 0e0 end) as mean_reward,
       max(case when ok then 1e0 else 0e0 end) - avg(case when ok then 1e0 else 0e0 end) as max_advantage, round(stddev_pop(case when ok then 1e0 else 0e0 end), 6) as advantage_std from @graded group by problem_id, arm, concept""",
     "advantages": "select problem_id, arm, rollout_idx, round(case when ok then 1e0 else 0e0 end - avg(case when ok then 1e0 else 0e0 end) over (partition by problem_id, arm), 9) as advantage from @graded",
     "zone_frac": f"""select coalesce(concept, '(all)') as concept, count(*) as n, {", ".join(f"round({_RATE(f"zone = '{z}'")}, 4) as {z}" for z in ("too_hard", "borderline", "goldilocks", "too_easy"))}
       from @calib group by grouping sets ((concept), ())""",
-    "pass_hist": """select g.c as correct, count(k.problem_id) as n from (select distinct rollout_idx + 1 as c from @rollouts union select 0 as c) g left join (select * from @calib where arm = 'base') k on k.correct = g.c group by g.c""",
+    "pass_hist": """select g.arm, g.c as correct, count(k.problem_id) as n from (select distinct arm, rollout_idx + 1 as c from @rollouts union select distinct arm, 0 as c from @rollouts) g left join @calib k on k.correct = g.c and k.arm = g.arm group by g.arm, g.c""",
     "top3_share": """select concept, cast(sum(n) filter (where r <= 3) as double) / sum(n) as share from (select concept, answer, count(*) as n, row_number() over (partition by concept order by count(*) desc, answer) as r from @pool group by concept, answer) x group by concept""",
     "truncation_rate": f"select concept, arm, count(*) as n, {_RATE("position(concat(chr(92), 'boxed') in response) = 0")} as truncation from @rollouts group by concept, arm",
     "answer_entropy": """select concept, round(-sum(n / total * log2(n / total)), 6) as bits from (select concept, answer, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by concept) as double) as total from @pool group by concept, answer) x group by concept""",
     "ghost_frac": f"select concept, arm, {_RATE("correct = 0 or correct = n")} as ghost from @calib group by concept, arm",
-    "calib_overall": """select arm, avg(pass_rate) as mean_reward, round(median(2 * pass_rate * (1 - pass_rate)), 9) as median_abs_advantage, round(avg(2 * pass_rate * (1 - pass_rate)), 9) as mean_abs_advantage,
+    "calib_overall": """select arm, round(avg(pass_rate), 9) as mean_reward, round(median(2 * pass_rate * (1 - pass_rate)), 9) as median_abs_advantage, round(avg(2 * pass_rate * (1 - pass_rate)), 9) as mean_abs_advantage,
       count(*) filter (where 2 * pass_rate * (1 - pass_rate) < 0.05) as n_small from @calib group by arm""",
     "concept_table": """select concept, count(*) as n, round(avg(pass_rate), 9) as mean_pass, count(*) filter (where zone = 'too_hard') as too_hard, count(*) filter (where zone = 'borderline') as borderline,
       count(*) filter (where zone = 'goldilocks') as goldilocks, count(*) filter (where zone = 'too_easy') as too_easy from @calib group by concept order by mean_pass, concept""",
@@ -45,11 +38,9 @@ QUERIES: dict[str, str] = {
       round(coalesce(avg(sqrt(pass_rate * (1 - pass_rate))) filter (where zone = 'goldilocks'), 0), 6) as goldilocks_std from @calib group by arm""",
     "run_meta": """select arm, cast(sum(correct) as double) / sum(n) as overall_pass, count(*) as n_problems, count(*) filter (where zone = 'too_hard') as too_hard, count(*) filter (where zone = 'borderline') as borderline,
       count(*) filter (where zone = 'goldilocks') as goldilocks, count(*) filter (where zone = 'too_easy') as too_easy from @calib group by arm""",
-    "difficulty_dist": "select correct, count(*) as n, round(100e0 * count(*) / sum(count(*)) over (), 6) as percent from @calib where arm = 'base' group by correct",
-    "ghost_batch": """select case when correct < 2 then 'hard' when correct <= 6 then 'sweet' else 'easy' end as band, count(*) as n, round(avg(pow(pass_rate, 8) + pow(1 - pass_rate, 8)), 9) as ghost_probability from @calib where arm = 'base'
-      group by case when correct < 2 then 'hard' when correct <= 6 then 'sweet' else 'easy' end""",
-    "param_vs_passrate": """select p.concept, p.knob_k, count(*) as n, round(avg(c.rate), 9) as mean_pass from (select * from (select *, row_number() over (partition by problem order by row_id desc) as rn from @pool) x where rn = 1) p
-      left join (select problem, cast(count(*) filter (where answer <> 'n/a') as double) / count(*) as rate from @pool group by problem) c on c.problem = p.problem group by p.concept, p.knob_k""",
+    "difficulty_dist": "select arm, correct, count(*) as n, round(100e0 * count(*) / sum(count(*)) over (partition by arm), 6) as percent from @calib group by arm, correct",
+    "ghost_batch": """select arm, case when 4 * correct < n then 'hard' when 4 * correct <= 3 * n then 'sweet' else 'easy' end as band, count(*) as n, round(avg(pow(pass_rate, 8) + pow(1 - pass_rate, 8)), 9) as ghost_probability from @calib
+      group by arm, case when 4 * correct < n then 'hard' when 4 * correct <= 3 * n then 'sweet' else 'easy' end""",
     "pass_at_k": f"""select arm, count(*) as n, {_RATE('correct > 0')} as pass_at_k, cast(sum(correct) as double) / sum(n) as mean_pass_rate from @calib group by arm""",
     "checkpoint_matrix": """select concept, c0, c1, c2, c3, round(c3 - c0, 9) as trend from (select concept, round(avg(r) filter (where label = 0), 9) as c0, round(avg(r) filter (where label = 1), 9) as c1, round(avg(r) filter (where label = 2), 9) as c2,
       round(avg(r) filter (where label = 3), 9) as c3 from (select concept, cast(floor(rollout_idx / 2) as int) as label, case when ok then 1e0 else 0e0 end as r from @graded) x group by concept) y""",
@@ -58,8 +49,6 @@ QUERIES: dict[str, str] = {
     # pools
     "dedupe_first": f"select row_id, problem, answer, concept, knob_k from ({_DEDUPED('')}) d",
     "dedupe_last": f"select row_id, problem, answer, concept, knob_k from ({_DEDUPED('desc')}) d",
-    "structural_checks": """select count(*) as n, count(distinct problem) as n_unique, (select coalesce(cast(sum(c - 1) as bigint), 0) from (select count(*) as c from @pool group by problem, answer) x) as exact_dups,
-      count(*) filter (where not (answer like '-%' or answer between '0' and '99999')) as non_numeric from @pool""",
     "conflicting_golds": "select problem, count(distinct answer) as n_golds, min(answer) as first_gold, max(answer) as last_gold from @pool group by problem having count(distinct answer) > 1",
     "gate_dedupe": "select concept, count(distinct problem) as kept, count(*) as raw, count(distinct problem) >= 0.9 * count(*) as ok from @pool group by concept",
     "gate_top3": f"""select concept, cast(sum(n) filter (where r <= 3) as double) / sum(n) as share, 10 * sum(n) filter (where r <= 3) <= 3 * sum(n) as ok from
@@ -71,15 +60,11 @@ QUERIES: dict[str, str] = {
     "key_intersect": "select problem from @pool where row_id % 2 = 0 intersect select problem from @pool where row_id % 2 = 1",
     # samples and splits
     "seeded_sample": f"select row_id, problem from @pool order by {_DRAW('row_id')} limit 100",
-    "random_split": f"select row_id, problem, case when rn <= 100 then 'holdout' else 'train' end as part from (select row_id, problem, row_number() over (order by {_DRAW('row_id')}) as rn from ({_DEDUPED('')}) d) x",
-    "stratified_split": _SPLIT + "select row_id, problem, concept, case when taken or (not taken and e <= want - have) then 'holdout' else 'train' end as part from extra",
     "goldilocks_train": "select problem_id, concept, correct from @calib where arm = 'base' and correct between 2 and 6",
     "goldilocks_holdout": f"""with t as (select problem_id, concept, correct from @calib where arm = 'base' and correct between 2 and 6),
       top as (select concept from (select concept, row_number() over (order by count(*) desc, concept) as r from t group by concept) x where r <= 12)
       select problem_id, concept, case when r = 1 then 'holdout' else 'train' end as part from (select t.problem_id, t.concept, row_number() over (partition by t.concept order by {_DRAW('problem_id')}) as r from t join top on top.concept = t.concept) y""",
     "zone_sample": f"select problem_id, zone from (select problem_id, zone, row_number() over (partition by zone order by {_DRAW('problem_id')}) as r from @calib where arm = 'base') x where r <= 4",
-    "sft_shortest": """select problem_id, arm, rollout_idx, response from (select g.problem_id, g.arm, g.rollout_idx, g.response, row_number() over (partition by g.problem_id, g.arm order by length(g.response), g.rollout_idx) as r
-      from @graded g join @calib c on c.problem_id = g.problem_id and c.arm = g.arm where g.ok and c.correct < c.n) x where r = 1""",
     "sft_stats": """select count(*) as n, count(*) filter (where correct = n) as always_right, count(*) filter (where correct = 0) as always_wrong, count(*) filter (where correct between 1 and n - 1) as gap from @calib""",
     "gap_summary": """select concept, count(*) as total, count(*) filter (where correct = n) as always_right, count(*) filter (where correct = 0) as always_wrong, count(*) filter (where correct between 1 and n - 1) as gap from @calib group by concept""",
     "resume_todo": "select distinct p.problem from @pool p where not exists (select 1 from @pool d where d.row_id % 3 = 0 and d.problem = p.problem)",
@@ -87,19 +72,14 @@ QUERIES: dict[str, str] = {
     "compare_runs": "select idx, concept, base_ok, trained_ok, base_pred, trained_pred from @paired",
     "transitions": "select case when base_ok and trained_ok then 'still_right' when trained_ok then 'fixed' when base_ok then 'broken' else 'still_wrong' end as category, count(*) as n from @paired group by case when base_ok and trained_ok then 'still_right' when trained_ok then 'fixed' when base_ok then 'broken' else 'still_wrong' end",
     "method_accuracy": f"select arm, method, count(*) as n, {_RATE('is_correct')} as accuracy from @runs group by arm, method",
-    "format_wins": "select count(*) filter (where trained_method = 'boxed' and base_method <> 'boxed') as format_wins, count(*) filter (where trained_method = 'boxed' and base_method <> 'boxed' and trained_ok) as format_and_correct from @paired",
-    "extraction_artifacts": "select idx from @paired where trained_ok and not base_ok and base_method <> 'boxed' and position(concat(' ', gold, ' ') in concat(' ', translate(base_response, '*$.#,', '     '), ' ')) > 0",
     "wrong_boxed": f"select arm, count(*) as n_wrong, {_RATE("method = 'boxed'")} as boxed_rate from @runs where not is_correct group by arm",
     "token_stats": "select arm, avg(cast(n_tokens as double)) as mean_tokens, median(cast(n_tokens as double)) as median_tokens from @runs group by arm",
     "still_wrong": "select count(*) filter (where base_pred = trained_pred) as same_answer, count(*) filter (where base_pred <> trained_pred or base_pred is null or trained_pred is null) as other_answer from @paired where not base_ok and not trained_ok",
-    "hack_verdict": """select fixed, format_only, case when jump > 0.2 and format_only > 0.5 * greatest(fixed, 1) then 'hacking' when format_only <= 0.2 * greatest(fixed, 1) then 'real' else 'mixed' end as verdict from
-      (select count(*) filter (where trained_ok and not base_ok) as fixed, count(*) filter (where trained_method = 'boxed' and base_method <> 'boxed' and base_ok = trained_ok) as format_only,
-      cast(count(*) filter (where not trained_ok and trained_method = 'boxed') - count(*) filter (where not base_ok and base_method = 'boxed') as double) / count(*) as jump from @paired) x""",
     "top_movers": """select problem_id, delta, side from (select problem_id, delta, 'up' as side, row_number() over (order by delta desc, problem_id) as r from (select problem_id, round(max(pass_rate) filter (where arm = 'trained') - max(pass_rate) filter (where arm = 'base'), 9) as delta from @calib group by problem_id) a where delta is not null
       union all select problem_id, delta, 'down' as side, row_number() over (order by delta, problem_id) as r from (select problem_id, round(max(pass_rate) filter (where arm = 'trained') - max(pass_rate) filter (where arm = 'base'), 9) as delta from @calib group by problem_id) b where delta is not null) x where r <= 10""",
     "sign_test": """select improved, regressed, unchanged, case when improved + regressed = 0 then 'mixed' when improved > 0.6 * (improved + regressed) then 'better' when improved < 0.4 * (improved + regressed) then 'worse' else 'mixed' end as verdict from
       (select count(*) filter (where t > b) as improved, count(*) filter (where t < b) as regressed, count(*) filter (where t = b) as unchanged from (select problem_id, max(pass_rate) filter (where arm = 'trained') as t, max(pass_rate) filter (where arm = 'base') as b from @calib group by problem_id) x) y""",
-    "holdout_delta": "select sign(t - b) as direction, count(*) as n from (select problem_id, cast(max(correct) filter (where arm = 'trained') as double) as t, cast(max(correct) filter (where arm = 'base') as double) as b from @calib group by problem_id) x where t is not null and b is not null group by sign(t - b)",
+    "holdout_delta": "select cast(sign(t - b) as int) as direction, count(*) as n from (select problem_id, cast(max(correct) filter (where arm = 'trained') as double) as t, cast(max(correct) filter (where arm = 'base') as double) as b from @calib group by problem_id) x where t is not null and b is not null group by cast(sign(t - b) as int)",
     "sweet_spot_join": "select p.p_partkey as problem_id, coalesce(c.correct, -1) as correct, coalesce(c.n, -1) as n from @part p left join (select * from @calib where arm = 'base' and correct between 2 and 6) c on c.problem_id = p.p_partkey",
     # training log
     "reward_by_step": "select step, count(*) as n, cast(sum(reward) as bigint) as n_correct from @steps group by step",

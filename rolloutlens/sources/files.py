@@ -43,6 +43,18 @@ def write_json_arrays(df: DataFrame, path: str, order: str) -> None:
     chunks.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
+_CSV = {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\\N", "emptyValue": "", "lineSep": "\n", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Quotes inside a value are doubled, line feeds stay, and a null is \\N."""
+    df.write.options(**{k: v for k, v in _CSV.items() if k != "multiLine"}, quoteAll="true").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    return spark.read.schema(schema).options(**_CSV).csv(path)
+
+
 def read_columnar(tables: DataFrame) -> DataFrame:
     """(version, row_no, cells) from rows (name, columns array, data array of arrays); versions sort as numbers, non-numeric ones as 0."""
     version = F.coalesce(F.regexp_extract("name", r"v([0-9]+)", 1).try_cast("int"), F.lit(0))
@@ -59,7 +71,7 @@ def round_trip(df: DataFrame, form: str) -> DataFrame:
         write_json_arrays(df, path, df.columns[0])
         return read_json_arrays(spark, path, df.schema)
     if form == "csv":
-        df.write.csv(path, header=True)
-        return spark.read.schema(df.schema).csv(path, header=True)
+        write_csv(df, path)
+        return read_csv(spark, path, df.schema)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +15,10 @@ with ranked as (
   select l_partkey, l_linenumber, l_quantity, row_number() over (partition by l_partkey
     order by l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_quantity, l_discount, l_shipdate) as r from @lineitem),
 rolled as (
-  select l_partkey as problem_id, p_type as concept, l_partkey % 97 + 100 as gold_n, case when r <= 8 then 'base' else 'trained' end as arm,
+  select l_partkey + 10000000000 * cast(floor((r - 1) / 16) as bigint) as problem_id, p_type as concept, l_partkey % 97 + 100 as gold_n, case when (r - 1) % 16 < 8 then 'base' else 'trained' end as arm,
     (r - 1) % 8 as rollout_idx, l_linenumber as ln, cast(l_quantity as int) as n_tokens,
-    case when l_quantity <= (l_partkey % 13) * 5 - 5 + (case when r > 8 then 6 else 0 end) then l_partkey % 97 + 100 else l_partkey % 97 + 101 + l_linenumber end as ans
-  from ranked join @part on p_partkey = l_partkey where r <= 16)
+    case when l_quantity <= (l_partkey % 13) * 5 - 5 + (case when (r - 1) % 16 >= 8 then 6 else 0 end) then l_partkey % 97 + 100 else l_partkey % 97 + 101 + l_linenumber end as ans
+  from ranked join @part on p_partkey = l_partkey)
 select problem_id, concept, cast(gold_n as string) as gold, arm, rollout_idx, n_tokens,
   case (ln + rollout_idx) % 7
     when 0 then concat('First try ', chr(92), 'boxed{7}, then ', chr(92), 'boxed{ ', cast(ans as string), '}')
@@ -38,7 +39,7 @@ select problem_id, concept, arm, count(*) as n, count(*) filter (where ok) as co
   case when count(*) filter (where ok) = 0 then 'too_hard' when count(*) filter (where ok) = count(*) then 'too_easy'
     when 4 * count(*) filter (where ok) between count(*) and 3 * count(*) then 'goldilocks' else 'borderline' end as zone
 from @graded group by problem_id, concept, arm""",
-    "runs": "select problem_id as idx, arm, concept, gold, ok as is_correct, method, pred, response, n_tokens from @graded where rollout_idx = 0",
+    "runs": "select problem_id * 8 + rollout_idx as idx, arm, concept, gold, ok as is_correct, method, pred, response, n_tokens from @graded",
     "paired": """
 select b.idx, b.concept, b.gold, b.is_correct as base_ok, t.is_correct as trained_ok, b.method as base_method, t.method as trained_method, b.pred as base_pred,
   t.pred as trained_pred, b.n_tokens as base_tokens, t.n_tokens as trained_tokens, b.response as base_response
@@ -67,10 +68,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL in which @name is a table or view."""
-    for name in sorted(set(_NAME.findall(sql))):
-        frame(spark, sf_dir, name).createOrReplaceTempView(f"rolloutlens_{name}")
-    return spark.sql(_NAME.sub(r"rolloutlens_\1", sql))
+    """Run SQL in which @name is a table or view. The names that Spark sees are this call's own and gone after it."""
+    own, names = uuid.uuid4().hex, sorted(set(_NAME.findall(sql)))
+    for name in names:
+        frame(spark, sf_dir, name).createOrReplaceTempView(f"{name}_{own}")
+    try:
+        return spark.sql(_NAME.sub(rf"\1_{own}", sql))
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(f"{name}_{own}")
 
 
 def oracle(sql: str) -> str:

@@ -1,11 +1,13 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from rolloutlens.plans import derived, entities
+from rolloutlens.plans import chains, compare, derived, entities, golds, records
 
 SF = "/root/testdata/sf0.001"
+NAMES = sorted(derived.QUERIES | entities.QUERIES | compare.QUERIES | golds.QUERIES | chains.QUERIES | records.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -17,16 +19,20 @@ def con():
     return con
 
 
+def _rows(df):
+    text = lambda x: "null" if x is None or x is pd.NA or x != x else str(x)
+    return sorted(tuple(map(text, r)) for r in df[sorted(df.columns)].itertuples(index=False))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(derived.QUERIES | entities.QUERIES))
+@pytest.mark.parametrize("name", NAMES)
 def test_derived_equals_sql(spark, con, name):
     import __spark_entry__ as entry
 
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    key = lambda df: sorted(tuple(str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
-    assert key(got) == key(want)
+    assert _rows(got) == _rows(want)
 
 
 def test_entity_names_of_odd_texts(spark):

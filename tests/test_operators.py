@@ -1,0 +1,117 @@
+"""Recomputed golds, gates, specs, transcripts and CSV on small literal tables."""
+
+from math import gcd
+
+import pytest
+from pyspark.sql import functions as F
+
+from rolloutlens.functions import recompute
+from rolloutlens.operators import specs, transcripts
+from rolloutlens.plans import compare, golds
+from rolloutlens.sources import files
+
+#: (concept, text, gold) in wordings that the table fixtures don't use.
+TEXTS = [
+    ("continued_fraction", "It has 4 entries: a fraction with 4 total 3's", 109 + 33),
+    ("modular_exponent", "Take 7 to the power 13 and give the remainder modulo 11.", 7**13 % 11),
+    ("constrained_divisor_count", "Of the divisors of 360, how many are less than 12?", sum(360 % d == 0 for d in range(1, 12))),
+    ("lattice_points_circle", "Count (x, y) with x^2+y^2 < 4^2 or on it.", 49),
+    ("telescoping_mn", "1/(k(k + 2)) for k = 1, ..., 20", (n := 20 * 65, d := 4 * 21 * 22, (n + d) // gcd(n, d))[-1]),
+    ("complement_prob_mn", "How many rolls of a 6-sided die?", 4),
+    ("poly_remainder", "Where does 2x^3 -3x^2 +1x -4 equal 20?", None),
+    ("poly_remainder", "Where does 2x^3 -3x^2 +1x -4 equals 26?", 3),
+    ("log_laws", "log_5(125) + log_5(25) - log_5(5)", 4),
+    ("log_laws", "log_5(124)", None),
+    ("prime_power_divisors", "smallest with exactly 6 positive divisors", 12),
+    ("lcm_gcd_system", "nothing to read", None),
+    ("no_such_concept", "7 8 9", None),
+    ("custom_binary_op", None, None),
+]
+
+
+def test_recomputed_golds(spark):
+    rows = spark.createDataFrame([(i, c, t) for i, (c, t, _) in enumerate(TEXTS)], "row_id long, concept string, problem string")
+    got = {r["row_id"]: r["recomputed"] for r in recompute.with_recomputed(rows).collect()}
+    assert got == {i: g for i, (_, _, g) in enumerate(TEXTS)}
+
+
+def test_gate_of_golds(spark):
+    columns = "row_id long, concept string, problem string, answer string, recomputed long"
+    rows = [
+        (1, "log_laws", "a", "5", 5), (2, "log_laws", "a", "5", 5), (3, "log_laws", "b", "6.0", 6),  # right, one text twice
+        (4, "box_diagonal_sq", "c", "5", 6),  # wrong
+        (5, "unheard_of", "d", "5", None),  # nothing can read it
+        (6, "unheard_of_2", "e", "5", None), (7, "unheard_of_2", "e", "6", None),  # two golds for one text
+        (8, "count_pythagorean", "f", "5", None),  # no text could be read
+        (9, "modular_exponent", "g", None, 4),  # no gold
+    ]
+    got = {r["concept"]: r["ok"] for r in golds.gate(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {"log_laws": True, "box_diagonal_sq": False, "unheard_of": None, "unheard_of_2": False, "count_pythagorean": False, "modular_exponent": False}
+
+
+def test_repair_of_golds(spark):
+    rows = [(2, "continued_fraction", "x", "7", 9), (1, "continued_fraction", "x", "8", 9), (3, "log_laws", "y", "7", 9), (4, "continued_fraction", "z", "9", 9), (5, "continued_fraction", "u", "4", None)]
+    got = {tuple(r) for r in golds.repair(spark.createDataFrame(rows, "row_id long, concept string, problem string, answer string, recomputed long")).collect()}
+    assert got == {(1, "continued_fraction", "x", "9", True), (3, "log_laws", "y", "7", False), (4, "continued_fraction", "z", "9", False), (5, "continued_fraction", "u", "4", False)}
+
+
+SPEC = "concept string, param string, type string, knob_class string, lo double, hi double, allowed array<string>, atoms array<double>, words array<string>, nested boolean, locked boolean"
+
+
+@pytest.mark.parametrize(
+    ("row", "reason"),
+    [
+        (("randint", "num", 0.0, 9.0, None, [1.0, 9.0], [], False), None),
+        (("randint", "num", 0.0, 9.0, None, [1.0, 10.0], [], False), "outside_envelope"),
+        (("const", "C", 0.0, 9.0, None, [5.0, 4.0], [], False), "bad_range"),
+        (("const", "C", 0.0, 9.0, None, [5.5, 6.0], [], False), "bad_range"),
+        (("choice", "S", 0.0, 9.0, None, [], [], False), "no_options"),
+        (("choice", "S", 0.0, 9.0, None, [], ["a"], False), "no_numbers"),
+        (("choice", "S", 0.0, 9.0, None, [2.0, 9.5], [], True), "outside_envelope"),
+        (("choice", "S", None, None, ["a", "b"], [], ["a"], False), None),
+        (("choice", "S", None, None, ["a", "b"], [], ["a", "c"], False), "not_allowed"),
+        (("range", "S", 0.0, 9.0, None, [1.0, 2.0], [], False), "bad_type"),
+        (("choice", "Z", 0.0, 9.0, None, [1.0], [], False), "bad_class"),
+        (("choice", "S", None, None, None, [1.0], [], False), "missing_key"),
+    ],
+)
+def test_spec_validation(spark, row, reason):
+    made = spark.createDataFrame([("c", "p", *row, False)], SPEC)
+    assert specs.validate(made).first()["reason"] == reason
+
+
+def test_edits_of_specs(spark):
+    made = spark.createDataFrame([("c", "p", "randint", "num", 0.0, 99.0, None, [10.0, 20.0], [], False, False), ("c", "q", "randint", "C", 0.0, 99.0, None, [10.0, 20.0], [], False, False), ("l", "p", "randint", "num", 0.0, 9.0, None, [1.0, 2.0], [], False, True)], SPEC)
+    edits = [("c", "p", [11.0, 20.0]), ("c", "p", [9.0, 20.0]), ("c", "q", [9.0, 20.0]), ("c", "q", [9.0, 200.0]), ("c", "r", [1.0, 2.0]), ("l", "p", [1.0, 1.0]), ("n", "p", [1.0, 1.0])]
+    proposals = spark.createDataFrame([(i, c, p, v, [], False) for i, (c, p, v) in enumerate(edits)], "proposal_id int, concept string, param string, atoms array<double>, words array<string>, nested boolean")
+    got = {r["proposal_id"]: r["verdict"] for r in specs.edit_gate(proposals, made).collect()}
+    assert [got[i] for i in range(7)] == ["accepted", "widened", "accepted", "invalid: outside_envelope", "unknown_param", "locked", "unknown_concept"]
+
+
+def test_transcripts(spark):
+    text = (
+        "TOO_EASY and GOLDILOCKS 3/8 correct sums gold=12 grades=[1, 0, 1]\nPROBLEM Add  five\nand seven. ______ --- rollout 1 (graded CORRECT) ---\nIt   is 12. Therefore, done.\n--- rollout 2 (graded WRONG) --- 1. one 2. two"
+        " 8/8 correct more gold=-1/2 grades=[1] PROBLEM none 0/8  correct last gold=0.5 grades=[ 0,0 ]"
+    )
+    rows = transcripts.segments(spark.createDataFrame([("f", text), ("empty", ""), ("null", None)], "file string, text string")).orderBy("place").collect()
+    assert [(r["file"], r["concept"], r["n_correct"], r["gold"], r["zone"], r["grades"]) for r in rows] == [("f", "sums", 3, "12", "goldilocks", ["1", "0", "1"]), ("f", "more", 8, "-1/2", "too_easy", ["1"]), ("f", "last", 0, "0.5", "too_hard", ["0", "0"])]
+    assert rows[0]["statement"] == "Add five and seven."
+    assert [(x["n"], x["verdict"], x["body"]) for x in rows[0]["rollouts"]] == [(1, "CORRECT", "It is 12.\nTherefore, done."), (2, "WRONG", "1. one 2. two")]
+
+
+def test_csv_keeps_quotes_line_feeds_nulls_and_empty_texts(spark):
+    rows = [(1, 'a "quoted", text'), (2, "two\nlines"), (3, None), (4, ""), (5, " spaced "), (6, "back\\slash")]
+    got = files.round_trip(spark.createDataFrame(rows, "id long, text string"), "csv")
+    assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_columnar_tables(spark):
+    made = spark.createDataFrame([("v10", ["a", "b"], [["1", "x"], ["2", "y"]]), ("draft", ["a"], [["3"]])], "name string, columns array<string>, data array<array<string>>")
+    got = sorted((r["version"], r["row_no"], r["cells"]) for r in files.read_columnar(made).collect())
+    assert got == [(0, 0, {"a": "3"}), (10, 0, {"a": "1", "b": "x"}), (10, 1, {"a": "2", "b": "y"})]
+
+
+def test_numeric_golds(spark):
+    golds_ = ["7", "-7", "1/2", "0.5", "7x", "-x", "", " 12 ", "1,000", "1/2/3"]
+    got = spark.createDataFrame([(g,) for g in golds_], "g string").select(F.trim("g").rlike(compare.NUMERIC_GOLD).alias("ok")).collect()
+    assert [r["ok"] for r in got] == [True, True, True, True, False, False, False, True, False, False]

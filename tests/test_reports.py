@@ -3,11 +3,13 @@ import os
 import duckdb
 import pytest
 
+from rolloutlens.plans import reports
+
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["calib_zones", "stratified_split", "structural_checks", "transitions", "pass_hist", "answer_entropy", "resume_todo"])
+@pytest.mark.parametrize("name", sorted(reports.QUERIES))
 def test_report_equals_sql(spark, name):
     import __spark_entry__ as entry
 
