@@ -123,9 +123,12 @@ def exchanged(blocks: DataFrame, orders: int, partitions: int) -> list[DataFrame
 
         return count
 
-    for k in range(len(stages)):
+    def exchange(k: int) -> DataFrame:
         sent = blocks.groupBy("block").cogroup(reduce(DataFrame.unionAll, tables).groupBy("block")).applyInArrow(later(k), _SENT) if k else blocks.mapInArrow(first, _SENT)
-        tables.append(written(sent.groupBy("p").applyInArrow(_totals(k), "block long, stage int, p int, totals binary"), "lm-totals", compression="zstd"))
+        return written(sent.groupBy("p").applyInArrow(_totals(k), "block long, stage int, p int, totals binary"), "lm-totals", compression="zstd")
+
+    for k in range(len(stages)):
+        tables.append(exchange(k))
         release_shuffles(blocks.sparkSession)
     return tables
 
