@@ -186,16 +186,19 @@ class SuffixFamily:
     def _table(self, schema: str, *paths: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def _arrays(self, texts: str, merged: tuple[int, ...], path: str) -> None:
+        rows = suffix_arrays(self._table(SCHEMA, texts), self.state["partitions"])
+        for level in self.state["levels"].values():
+            rows = rows.unionAll(self._table(_ARRAYS, level).where("kind = 'level'"))
+        rows.groupBy("p").applyInArrow(_scan_and_merge(merged, self.state["hot"]), _ARRAYS).write.parquet(path)
+
     def add(self, docs: DataFrame) -> None:
         spark, state, merged = self.spark, self.state, []
         while str(len(merged)) in state["levels"]:
             merged.append(len(merged))
         texts, path, reports = (new_path(spark, f"suffix-{x}") for x in ("texts", "arrays", "reports"))
         blocks_of(docs, len(state["texts"])).write.parquet(texts)
-        rows = suffix_arrays(self._table(SCHEMA, texts), state["partitions"])
-        for level in state["levels"].values():
-            rows = rows.unionAll(self._table(_ARRAYS, level).where("kind = 'level'"))
-        rows.groupBy("p").applyInArrow(_scan_and_merge(tuple(merged), state["hot"]), _ARRAYS).write.parquet(path)
+        self._arrays(texts, tuple(merged), path)
         self._table(_ARRAYS, path).where("kind <> 'level'").select("kind", "block", "suffixes", "ords").write.parquet(reports)
         for rank in merged:
             drop_files(spark, state["levels"].pop(str(rank)))
@@ -394,16 +397,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def digests(family: SuffixFamily) -> DataFrame:
-    """Rows of _DIGEST for all documents of a family."""
-    texts = family.texts()
+def repeated_ranges(family: SuffixFamily) -> DataFrame:
+    """(block, parts): packed byte ranges that repeated windows cover, as a written table."""
     shared = written(family.shared(), "suffix-shared")
-    windows = _window_pieces(texts.join(shared, "block"), WINDOWS_EACH * family.state["partitions"], family.heavy())
+    windows = _window_pieces(family.texts().join(shared, "block"), WINDOWS_EACH * family.state["partitions"], family.heavy())
     ranges = windows.groupBy("q").applyInArrow(_repeats, "block long, ranges binary")
     found = written(ranges.groupBy("block").agg(F.collect_list("ranges").alias("parts")), "suffix-ranges")
     drop_files(family.spark, shared)
+    return found
+
+
+def digests(family: SuffixFamily) -> DataFrame:
+    """Rows of _DIGEST for all documents of a family."""
+    found = repeated_ranges(family)
     release_shuffles(family.spark)
-    return texts.join(found, "block", "left").mapInArrow(_digests, _DIGEST)
+    return family.texts().join(found, "block", "left").mapInArrow(_digests, _DIGEST)
 
 
 def suffix_dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
