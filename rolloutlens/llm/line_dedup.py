@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
 from rolloutlens.llm.common import NULL_ID, ngrams, slices, word_hashes, written
 
@@ -77,15 +78,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("other"), pa.array(texts, pa.binary()).cast(pa.string()), total, lost, chunks], ["other", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
 
+#: The columns that both forms add; of the same names in the input, these stand.
+_ADDED = ("n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def _schema(other: DataType) -> StructType:
+    return StructType([StructField("other", other), StructField("text", StringType()), *[StructField(c, LongType()) for c in _ADDED]])
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` with repeated chunks cut out of text, and n_lines, n_removed_lines, n_removed_chunks.
 
     A null text comes out empty; a null doc_id sorts first; of rows with one doc_id the text's hash decides which is first, and
-    rows equal in both are one document, which isn't its own repetition. The removed chunks' line feeds go with them.
+    rows equal in both are one document, which isn't its own repetition. The removed chunks' line feeds go with them. Columns of docs named as the
+    added ones are replaced by them.
     """
+    docs = docs.drop(*_ADDED)
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
-        F.struct(*others).alias("other"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("other"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("th", F.xxhash64("text"))
     slim = rows.select("did", "th", "text")
     keys = written(slim.where(F.contains("text", F.lit("\n"))).mapInArrow(_keys, "did long, th long, chunk int, key binary"), "chunk-keys")
@@ -96,9 +107,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     firsts = bodies.groupBy("body").agg(F.min(place).alias("first"))
     gone = bodies.join(firsts, "body").where(place > F.col("first")).groupBy("did", "th").agg(F.collect_set("chunk").alias("chunks"))
     cut = rows.join(gone, ["did", "th"], "left").select("other", "text", "chunks")
-    schema = "other " + rows.schema["other"].dataType.simpleString() + ", text string, n_lines long, n_removed_lines long, n_removed_chunks long"
+    schema = _schema(rows.schema["other"].dataType)
     done = cut.mapInArrow(_cut, schema)
-    return done.select(*[F.col("other")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
+    return done.select(*[F.col("other").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns], *_ADDED)
 
 
 def windows(lines: list[bytes]) -> list[tuple[int, int]]:
@@ -148,9 +159,10 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     A window goes if an equal one comes before it, by document and place, and doesn't overlap it; so the first copy of each line stays.
     Nulls, repeated rows and line feeds are as in line_dedup. Blank lines go only between removed lines.
     """
+    docs = docs.drop(*_ADDED)
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
-        F.struct(*others).alias("other"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("other"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("th", F.xxhash64("text"))
     slim = rows.select("did", "th", "text")
     keys = written(slim.where(F.contains("text", F.lit("\n"))).mapInArrow(_window_keys, "did long, th long, first int, key long"), "window-keys")
@@ -160,6 +172,6 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     kept = bodies.groupBy("body").agg(F.min(F.struct("did", "th", "first", "end")).alias("kept"))
     same = (F.col("did") == F.col("kept.did")) & (F.col("th") == F.col("kept.th"))
     gone = bodies.join(kept, "body").where(~same | (F.col("first") >= F.col("kept.end"))).groupBy("did", "th").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
-    schema = "other " + rows.schema["other"].dataType.simpleString() + ", text string, n_lines long, n_removed_lines long, n_removed_chunks long"
+    schema = _schema(rows.schema["other"].dataType)
     done = rows.join(gone, ["did", "th"], "left").select("other", "text", "gone").mapInArrow(_without, schema)
-    return done.select(*[F.col("other")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
+    return done.select(*[F.col("other").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns], *_ADDED)
