@@ -27,7 +27,7 @@ _ARROW = pa.schema([("did", pa.int64()), ("part", pa.int32()), ("part_start", pa
 def encode_documents(docs: DataFrame, tokenizer_path: str, kind: str, end_id: int) -> DataFrame:
     """Rows of SCHEMA in ascending doc_id order: ids of each whole text and then ``end_id``.
 
-    A null or empty text has the end id alone; a null doc_id sorts first; repeated rows are encoded each.
+    A null or empty text has the end id alone; a null doc_id sorts first; rows with one doc_id are in the order of their texts' hashes, and repeated rows are encoded each.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +46,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, kind: str, end_id: in
             )
             at += int(ends[-1])
 
-    return id_and_text(docs).repartitionByRange("did").sortWithinPartitions("did").mapInArrow(encode, SCHEMA)
+    rows = id_and_text(docs).withColumn("th", F.xxhash64("text"))
+    return rows.repartitionByRange("did", "th").sortWithinPartitions("did", "th").mapInArrow(encode, SCHEMA)
 
 
 def write_tokens(encoded: DataFrame, path: str, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
