@@ -213,6 +213,7 @@ def _probed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     a, b = (id_and_text(docs).join(e, "did").mapInArrow(sets, "node long, shingles binary").select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c, e in zip("ab", ends, strict=True))
     links = written(pairs.join(a, "a").join(b, "b").mapInArrow(probe, "a long, b long").distinct(), "links")
     drop_files(spark, pairs, *ends)
+    del a, b
     release_shuffles(spark)
     return links
 
