@@ -400,7 +400,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(family: SuffixFamily) -> DataFrame:
     """(block, parts): packed byte ranges that repeated windows cover, as a written table."""
     shared = written(family.shared(), "suffix-shared")
-    windows = _window_pieces(family.texts().join(shared, "block"), WINDOWS_EACH * family.state["partitions"], family.heavy())
+    windows = _window_pieces(family.texts().join(shared.hint("merge"), "block"), WINDOWS_EACH * family.state["partitions"], family.heavy())
     ranges = windows.groupBy("q").applyInArrow(_repeats, "block long, ranges binary")
     found = written(ranges.groupBy("block").agg(F.collect_list("ranges").alias("parts")), "suffix-ranges")
     drop_files(family.spark, shared)
@@ -411,7 +411,7 @@ def digests(family: SuffixFamily) -> DataFrame:
     """Rows of _DIGEST for all documents of a family."""
     found = repeated_ranges(family)
     release_shuffles(family.spark)
-    return family.texts().join(found, "block", "left").mapInArrow(_digests, _DIGEST)
+    return family.texts().join(found.hint("merge"), "block", "left").mapInArrow(_digests, _DIGEST)
 
 
 def suffix_dedup(docs: DataFrame, batches: int = 3) -> DataFrame:
