@@ -80,15 +80,15 @@ def _batch(rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(did, n, node, sketch): size, name and sketch of each text's set; the name of equal sets is equal."""
+    """(did, th, n, node, sketch): the text's hash and size, name and sketch of its set; the name of equal sets is equal."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(x) for x in as_bytes(batch.column("text"))]
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), *columns], ["did", "n", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), *columns], ["did", "th", "n", "node", "sketch"])
 
-    return id_and_text(docs).mapInArrow(sign, "did long, n long, node long, sketch array<long>")
+    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(sign, "did long, th long, n long, node long, sketch array<long>")
 
 
 def common_shingles(docs: DataFrame, partitions: int) -> np.ndarray:
@@ -102,8 +102,12 @@ def common_shingles(docs: DataFrame, partitions: int) -> np.ndarray:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
+                values = np.concatenate(held)
                 held.clear()
+                values.sort()
+                starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+                counts = np.diff(np.append(starts, len(values)))
+                values = values[starts]
                 low = values & _LOW
                 yield from _batch([(p, _ascending(low[at], 4), planes(counts[at], 4)) for p, at in _by_partition(values, low, partitions)], ["p", "low", "count"])
 
@@ -241,9 +245,9 @@ def _mixed(lists: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of lists that hold nodes of different components, with component and sketch; of lists with the same nodes, as the shingles of a shared passage have, one with their number as weight."""
     rows = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     holders = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"holders{k}") for k in range(2)]
-    found = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("length"), *holders).where("x <> y")
-    kept = written(found.groupBy("length", "holders0", "holders1").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")).select("shingle", "weight"), "mixed-lists")
-    done = written(rows.join(kept, "shingle").join(nodes.select("node", "sketch"), "node"), "mixed")
+    found = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("length"), F.first("weight").alias("weight"), *holders).where("x <> y")
+    kept = written(found.groupBy("length", "holders0", "holders1").agg(F.min("shingle").alias("shingle"), F.sum("weight").alias("weight")).select("shingle", "weight"), "mixed-lists")
+    done = written(rows.drop("weight").join(kept, "shingle").join(nodes.select("node", "sketch"), "node"), "mixed")
     drop_files(lists.sparkSession, kept)
     return done
 
@@ -290,11 +294,12 @@ def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("meetings") >= least).select("a", "b")
 
 
-def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 80, with_group: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: texts link when 100 * intersection >= percent * union of their five-word shingle sets.
 
     A text of fewer than five words has one shingle; without words, or null, it has none and is alone. component_id is the smallest doc_id of all
-    that links lead to; repeated rows come out each; a null doc_id counts for no component's smallest unless it's alone.
+    that links lead to; repeated rows come out each; a null doc_id counts for no component's smallest unless it's alone. ``with_group`` adds component, which is
+    the same for all rows of a group whatever their ids, and th, xxhash64 of the text.
     """
     spark = docs.sparkSession
     signs = written(signatures(docs), "signs")
@@ -308,16 +313,18 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = _probed(docs, nodes, _best_owners(lists, nodes, percent), percent)
     labels = components(links)
     drop_files(spark, links)
+    left = lists.withColumn("weight", F.lit(1).cast("long"))
     for candidates in (_nearest_owners, _cross_pairs):
-        mixed = _mixed(lists, labels, nodes)
+        mixed = _mixed(left, labels, nodes)
         more = _probed(docs, nodes, candidates(mixed, percent), percent)
         known, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-        drop_files(spark, mixed, more, known)
-    drop_files(spark, nodes, lists)
+        drop_files(spark, more, known, left)
+        left = mixed.select("shingle", "node", "n", "weight")  # lists of one component stay so
+    drop_files(spark, nodes, left)
     named = signs.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.where("n > 0").groupBy("component").agg(F.min(real_id()).alias("component_id"))
     joined = named.join(smallest, "component", "left")
-    return joined.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real_id()).alias("component_id"))
+    return joined.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real_id()).alias("component_id"), *(["component", "th"] if with_group else []))
 
 
 def brute_force(texts: dict[int, bytes], percent: int = 80) -> dict[int, int]:

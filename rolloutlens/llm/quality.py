@@ -100,9 +100,9 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> Da
     return union.select("stratum", *[F.when(F.col("on").bitwiseAND(F.lit(1 << i)) != 0, F.col(r)).alias(r) for i, r in enumerate(RULES)])
 
 
-def _inputs(docs: DataFrame, labels: DataFrame, risk: float, error: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _inputs(docs: DataFrame, labels: DataFrame, risk: float, error: float, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features of ``docs`` by stratum, (doc_id, good) of labelled documents and the cutoffs."""
-    table = written(features(docs.withColumn("stratum", F.coalesce(F.col("lang").cast("string"), F.lit(""))), "doc_id", "stratum"), "quality")
+    table = written(features(docs.withColumn("stratum", F.coalesce(F.col("lang").cast("string"), F.lit(""))), "doc_id", "stratum", *keep), "quality")
     classes = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     return table, classes, cutoffs(table.where(~base_failed()).join(classes.where("good"), "doc_id", "left_semi"), risk, error)
 
@@ -118,13 +118,13 @@ def report(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float
     return seen.groupBy("stratum", *RULES).agg(*[F.count_if(c).alias(n) for n, c in (("good", F.col("good")), ("good_rejected", F.col("good") & _rejected()), ("bad", ~F.col("good")), ("bad_rejected", ~F.col("good") & _rejected()))])
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """A row for each of ``docs``: doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each of ``docs``: doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the ``keep`` columns.
 
-    kept is false if base_failed or a rule with a safe cutoff rejects. A null text has no words, so it fails; a null language is a
-    stratum of its own; documents with several labels count as good only if all of them are 1; null labels are left out.
+    kept is false if base_failed or a rule with a safe cutoff rejects. A null text has no words, so it fails; a null language is in the
+    stratum of empty ones; documents with several labels count as good only if all of them are 1; null labels are left out.
     """
-    table, _, limits = _inputs(docs, labels, risk, error)
+    table, _, limits = _inputs(docs, labels, risk, error, keep)
     return table.join(limits, "stratum", "left").select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~_rejected()).alias("kept")
+        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~_rejected()).alias("kept"), *keep
     )
