@@ -41,8 +41,9 @@ def rule_column(rules: list[tuple[str, str]], host: Column, path: Column) -> Col
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n) over the visible text of all pages: lower-case runs of a-z up to LONGEST_WORD long."""
-    text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " "))
+    """(word, n) over the visible text of all pages, without scripts, styles and comments: lower-case runs of a-z up to LONGEST_WORD long."""
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.lower(F.regexp_replace(shown, r"<[^>]*>", " "))
     return pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -85,7 +86,7 @@ def marked_names(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[st
     urls = parsed(pages)
     names = urls.groupBy("host", "path").agg(F.count("*").alias("pages"))
     labels = names.select("host").distinct().select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("place", "label")).where("label <> ''")
-    words = segmented(labels.select("label").distinct(), word_counts(pages))
+    words = segmented(labels.select("label").distinct(), written(word_counts(pages), "url-counts"))
     hosts = labels.join(words, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("host_words"))
     path_words = F.transform(F.filter(F.split(F.lower("path"), "[^a-z0-9]+"), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), "0").otherwise(x))
     empty = F.array().cast("array<string>")
@@ -99,7 +100,7 @@ def log_odds(train: DataFrame, names: DataFrame, hidden: tuple[str, ...] = ()) -
     """(host, path, log_odds) of ``names`` by a model of ``train``, both as in marked_names; ``hidden`` host words of ``names`` don't count."""
     tokens = lambda words: F.explode(F.concat(F.transform(words, lambda x: F.concat(F.lit("h:"), x)), F.transform("path_words", lambda x: F.concat(F.lit("p:"), x)))).alias("token")
     trained = train.where("block is not null")
-    per_token = trained.select("block", "pages", tokens(F.col("host_words"))).groupBy("token").agg(F.sum(F.when(F.col("block") == 1, F.col("pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block") == 0, F.col("pages")).otherwise(0)).alias("a"))
+    per_token = written(trained.select("block", "pages", tokens(F.col("host_words"))).groupBy("token").agg(F.sum(F.when(F.col("block") == 1, F.col("pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("block") == 0, F.col("pages")).otherwise(0)).alias("a")), "url-tokens")
     zero = lambda c: F.coalesce(c, F.lit(0))
     sums = per_token.agg(zero(F.sum("b")).alias("tb"), zero(F.sum("a")).alias("ta"), F.count("*").alias("v"))
     priors = trained.agg(zero(F.sum(F.when(F.col("block") == 1, F.col("pages")))).alias("nb"), zero(F.sum(F.when(F.col("block") == 0, F.col("pages")))).alias("na"))
@@ -127,7 +128,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...]
     A page that no rule fits gets the classifier's verdict: block if its log odds are above 0. Null urls have an empty host and path and
     are judged by the prior; null html adds no words; repeated rows come out each.
     """
-    marked = marked_names(pages, rules, seeds)
+    marked = written(marked_names(pages, rules, seeds), "url-names")
     known = marked.join(log_odds(marked, marked), ["host", "path"]).select(
         "host", "path", F.col("rule.rule").alias("rule"), F.coalesce(F.col("rule.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "host_words"
     )
