@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloutlens.llm import decontaminate, jaccard_join, line_dedup, lm_scores, packing, quality, suffix_dedup, token_counts, token_files, url_filter
+from rolloutlens.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,4 +64,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op4_lm_scores, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter, op10_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -338,3 +338,71 @@ def test_passages_between_different_lines_are_removed(spark, rows, none):
     assert got[120]["n_lines"] == 6
     odd = _with_null_and_repeats(spark, rows)
     assert line_dedup.passage_dedup(odd).count() == odd.count() and line_dedup.passage_dedup(none).count() == 0
+
+
+def test_url_model_equals_plain_python(spark):
+    """Segmentation and naive Bayes on a table against loops over it."""
+    import math
+
+    rng = random.Random(12)
+    words = ["red", "blue", "casino", "shop", "news", "pills", "win", "free"]
+    pages = [(i, f"http://{rng.choice(words)}{rng.choice(words)}.{rng.choice(['com', 'net'])}/{rng.choice(['a', 'b/c', '77', ''])}" if i % 17 else None, f"<p>{' '.join(rng.choices(words, k=6))}</p><script>casinored()</script><!-- winwin -->") for i in range(300)]
+    pages += [(None, "http://x.org/1", None), (7, "http://" + "redblue" * 40 + ".com/" + "z" * 5000, "<style>bluered</style>")]
+    rules = [("allow", "org/")]
+    made = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'c' as host", "1 as pages", "'t' as token")
+    counts = Counter(w for _, _, h in pages for w in re.findall("[a-z]+", re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style).*?</\1>|<!--.*?-->", " ", h or "")).lower()) if len(w) <= 20)
+    total = sum(counts.values()) + 1
+    named = []
+    for i, url, _ in pages:
+        host, path = ((m := re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])).group(1).lower(), m.group(2)) if url and "://" in url else ("", "")
+        parts = [w for label in re.split("[^a-z]+", host) if label for w in url_filter.viterbi(label, counts, total)]
+        steps = ["0" if x.isdigit() else x for x in re.split("[^a-z0-9]+", path.lower()) if x]
+        ruled = host == "org" or host.endswith(".org")
+        named.append((i, host, path, ruled, parts, ["h:" + w for w in parts] + ["p:" + w for w in steps]))
+    classes = [None if ruled else int(any(x in url_filter.SEEDS for x in parts)) for _, _, _, ruled, parts, _ in named]
+    token = [Counter(t for n, c in zip(named, classes, strict=True) if c == k for t in n[5]) for k in (0, 1)]
+    vocabulary, n = set(token[0]) | set(token[1]), [classes.count(0), classes.count(1)]
+    sums = [sum(c.values()) for c in token]
+    odds = lambda t: math.log((token[1][t] + share(t)) / (sums[1] + len(vocabulary))) - math.log((token[0][t] + share(t)) / (sums[0] + len(vocabulary)))
+    share = lambda t: len(vocabulary) * (token[0][t] + token[1][t]) / sum(sums)
+    want = []
+    for (i, host, path, ruled, _, tokens) in named:
+        score = math.log((n[1] + 1) / (n[0] + 1)) + sum(odds(t) for t in tokens if t in vocabulary)
+        want.append((i, host, path, "org/" if ruled else None, "allow" if ruled or score <= 0 else "block"))
+    got = [tuple(r)[:5] for r in url_filter.judge(made, rules).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(got, key=key) == sorted(want, key=key) and {r[4] for r in want} == {"allow", "block"}
+    assert url_filter.judge(made.limit(0), rules).count() == 0
+
+
+def test_short_benchmark_items_are_never_missed(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(5 + i % 3))) for i in range(300)] + [(300, "one two"), (301, "one two")]
+    texts = [(i, " ".join([*(word() for _ in range(60)), t, *(word() for _ in range(60))])) for i, t in items[:300]] + [(300, "One Two"), (301, "one two three")]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, i) for i in range(301)] + [(300, 301)]
+
+
+def test_line_dedup_takes_any_column_name(spark):
+    made = spark.createDataFrame([(1, "a b\nc d\ne", 5, "x"), (2, "a b\nc d", 6, "y")], ["doc_id", "text", "n_lines", "my col.1"])
+    done = line_dedup.passage_dedup(made)
+    assert done.columns == ["doc_id", "text", "my col.1", "n_lines", "n_removed_lines", "n_removed_chunks"]
+    assert sorted(map(tuple, done.collect())) == [(1, "a b\nc d\ne", "x", 3, 0, 0), (2, "", "y", 2, 2, 1)]
+    assert line_dedup.line_dedup(made).select("n_lines", "`my col.1`").count() == 2
+
+
+def test_jaccard_join_on_a_large_family(spark):
+    """Over 2,000 near copies, some of which link only through others, beside texts that share a passage with all of them."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(2100):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(60)] = f"v{rng.randrange(200)}"
+        texts[i] = " ".join(words)
+    for i in range(2100, 2200):
+        texts[i] = " ".join([f"u{i}-{k}" for k in range(60)] + base[:12])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.linked(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert got == jaccard_join.brute_force({d: t.encode() for d, t in texts.items()})
