@@ -68,6 +68,42 @@ def test_every_operator_takes_odd_tables(spark, rows, none):
     assert decontaminate.contaminated(none, items).count() == decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_nulls_repeats_and_ties_have_defined_results(spark, rows):
+    """Repeated rows come out each and alike, null ids stay null and sort first, null texts count as empty."""
+    odd = _with_null_and_repeats(spark, rows)
+    tokens = token_files.token_digest(odd, P.path("word_bpe_49k.json")).orderBy("start").collect()
+    assert [r["doc_id"] for r in tokens] == sorted((r["doc_id"] for r in tokens), key=lambda d: -1 if d is None else d)
+    assert tokens[0]["n_tokens"] == 1 or tokens[1]["n_tokens"] == 1  # the null text beside the other null id
+    starts = np.cumsum([0, *(r["n_tokens"] for r in tokens)])[:-1].tolist()
+    assert [r["start"] for r in tokens] == starts
+    again = token_files.token_digest(odd.repartition(5), P.path("word_bpe_49k.json")).orderBy("start").collect()
+    assert tokens == again
+    counts = [tuple(r)[1:] for r in token_counts.token_counts(odd, P.path("piece_bpe_32k.model")).where("doc_id = 2").collect()]
+    assert len(counts) == 3 and len(set(counts)) == 1
+    cut = [tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(odd).where("doc_id = 2").collect()]
+    assert len(cut) == 3 and len(set(cut)) == 1  # rows equal in id and text are one document
+    scores = [r["n_words"] for r in lm_scores.lm_scores(odd).where("doc_id is null").collect()]
+    assert sorted(scores)[0] == 0 and len(scores) == 2
+    linked = {(r["doc_id"], r["component_id"]) for r in jaccard_join.linked(odd).where("doc_id is null or doc_id in (2, 3)").collect()}
+    assert (2, 2) in linked and (None, 3) in linked and (None, None) in linked
+    placed = packing.pack(odd, P.path("byte_bpe_50k.json")).where("doc_id = 2").count()
+    assert placed == 3 * packing.pack(odd, P.path("byte_bpe_50k.json")).where("doc_id = 2").select("piece").distinct().count()
+
+
+def test_a_very_long_text(spark):
+    """A text of over four million bytes, twice, and a short one."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i:05d}" for i in range(60_000)])
+    long = " ".join(words[rng.integers(0, 60_000, 650_000)].tolist())
+    made = spark.createDataFrame([(1, long), (2, long), (3, "a short text")], "doc_id long, text string")
+    assert len(long) > suffix_dedup.SEGMENT
+    cut = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_dedup(made).collect()}
+    assert cut[2] == (len(long), len(long), 1) and cut[1][1] == 0 and cut[3] == (12, 0, 0)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.linked(made).collect()} == {1: 1, 2: 1, 3: 3}
+    assert [r["n_words"] for r in lm_scores.lm_scores(made).orderBy("doc_id").collect()] == [650_000, 650_000, 3]
+    assert packing.pack(made, P.path("byte_bpe_50k.json")).groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
 def test_token_files(docs, rows):
     tokenizer, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
     got = {r["doc_id"]: tuple(r)[1:] for r in token_files.token_digest(docs, P.path("word_bpe_49k.json")).collect()}
