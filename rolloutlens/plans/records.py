@@ -267,6 +267,39 @@ _REGRADED_SQL = """select problem_id, concept, g as gold, correct, was <> correc
   from @graded where arm = 'base' group by problem_id, concept) x where correct between 2 and 6"""
 
 
+def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation statistics written as a sidecar of the pool, {concepts: {name: {raw, kept, survival}}}, read as a map and joined to the pool's concepts."""
+    pool, path = _frame(spark, sf_dir, "pool"), files.scratch(spark, "meta")
+    stats = pool.groupBy("concept").agg(F.count("*").alias("raw"), F.count_distinct("problem").alias("kept")).withColumn("survival", F.round(F.col("kept") / F.col("raw"), 4))
+    one = stats.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("raw", "kept", "survival")))).alias("concepts"))).alias("value"))  # a row for each concept
+    one.write.text(path)
+    read = spark.read.text(path).select(F.explode(F.from_json("value", "concepts map<string, struct<raw: bigint, kept: bigint, survival: double>>")["concepts"]).alias("concept", "s"))
+    return pool.groupBy("concept").agg(F.count("*").alias("n")).join(F.broadcast(read.select("concept", "s.*")), "concept", "left")
+
+
+_SIDECAR_SQL = "select concept, count(*) as n, count(*) as raw, count(distinct problem) as kept, round(count(distinct problem)::double / count(*), 4) as survival from @pool group by concept"
+
+
+def pool_draw(spark: SparkSession, sf_dir: str, wanted: int = 3, attempts: int = 10) -> DataFrame:
+    """Problems drawn from knobs by hash, the same on any cluster: of ``attempts`` draws for each row of part the first ``wanted`` that pass the guard of four divisors or more, in one of two wordings, with their knobs."""
+    draws = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    number = lambda name: F.conv(F.substring(F.md5(F.concat(F.lit(f"42:{name}:"), F.col("id"), F.lit(":"), F.col("attempt"))), 1, 8), 16, 10).cast("long")
+    drawn = draws.withColumn("n", number("n") % (F.col("size") + 40) + 12).withColumn("t", number("t") % 8 + 1)
+    counted = drawn.withColumn("divisors", F.expr("filter(sequence(1L, n), d -> n % d = 0)")).where(F.size("divisors") >= 4)
+    firsts = counted.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("attempt"))).where(F.col("turn") <= wanted)
+    text = F.when(number("w") % 2 == 0, F.concat(F.lit("How many positive divisors of "), "n", F.lit(" are greater than "), "t", F.lit("?"))).otherwise(F.concat(F.lit("Of the divisors of "), "n", F.lit(", how many are greater than "), "t", F.lit("?")))
+    return firsts.select("id", F.col("turn").cast("long").alias("turn"), text.alias("problem"), F.size(F.filter("divisors", lambda d: d > F.col("t"))).cast("long").alias("answer"), F.concat(F.lit("n="), "n", F.lit(",t="), "t").alias("knobs"))
+
+
+def _drawn(name: str) -> str:
+    return f"cast('0x' || substr(md5(concat('42:{name}:', id, ':', attempt)), 1, 8) as bigint)"
+
+
+_DRAW_SQL = f"""select id, turn, concat(case when w % 2 = 0 then 'How many positive divisors of ' else 'Of the divisors of ' end, n, case when w % 2 = 0 then ' are greater than ' else ', how many are greater than ' end, t, '?') as problem, len(list_filter(range(t + 1, n + 1), lambda d: n % d = 0)) as answer, concat('n=', n, ',t=', t) as knobs
+from (select *, row_number() over (partition by id order by attempt) as turn from (select id, attempt, {_drawn('n')} % (size + 40) + 12 as n, {_drawn('t')} % 8 + 1 as t, {_drawn('w')} as w from (select p_partkey as id, p_size as size, unnest(range(0, 10)) as attempt from @part) p) d
+where len(list_filter(range(1, n + 1), lambda d: n % d = 0)) >= 4) x where turn <= 3"""
+
+
 _ENTITY_FILTER_SQL = entities._NAMES_SQL + """, n as (select doc_id, cast(len(names) as bigint) as n from names)
 select doc_id, n from n where n >= case when (select count(*) from n where n >= 3) >= 1000 then 3 else 2 end"""
 
@@ -275,6 +308,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "text_clean": (text_clean, _nested_replace()),
     "src_columnar_json": (src_columnar_json, _COLUMNAR_SQL),
     "bundle_sink": (bundle_sink, _BUNDLE_SQL),
+    "sidecar_lookup": (sidecar_lookup, _SIDECAR_SQL),
+    "pool_draw": (pool_draw, _DRAW_SQL),
     "run_status": (run_status, _STATUS_SQL),
     "text_list_parse": (text_list_parse, _LIST_SQL),
     "entity_filter": (entity_filter, _ENTITY_FILTER_SQL),
