@@ -159,7 +159,7 @@ def plan_with_bound(histogram: dict[int, int], capacity: int, rounds: int = 100,
     """(content, copies) over all sequences, content being (length, count) pairs, and how many sequences any plan needs at least.
 
     Lengths that combine without gaps are tried first; if that takes more than a sequence for each length above the bound, configurations with gaps
-    are used too, and the shorter plan counts. A plan's size depends on the lengths, not on the number of pieces.
+    are used too, and the shortest of these plans and of best fit alone counts. A plan's size depends on the lengths, not on the number of pieces.
     """
     rest = Counter(histogram)
     full = [(((capacity, 1),), rest.pop(capacity))] if rest.get(capacity) else []
@@ -170,6 +170,7 @@ def plan_with_bound(histogram: dict[int, int], capacity: int, rounds: int = 100,
         bound = max(bound, least)
         if sum(n for _, n in plan) <= bound + len(rest):
             break
+    plans.append(_best_fit(rest, capacity))
     return full + min(plans, key=lambda p: sum(n for _, n in p)), sum(n for _, n in full) + int(np.ceil(bound - 1e-6))
 
 
