@@ -9,6 +9,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,18 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def own_shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes inside the block delete their own shuffle files as soon as they are done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def real_id(column: str = "did") -> F.Column:
     return F.nullif(F.col(column), F.lit(NULL_ID))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolloutlens.llm.blocks import blocks_of, dids_of, rows_of, texts_of
-from rolloutlens.llm.common import drop_files, from_planes, ngrams, planes, real_id, release_shuffles, word_hashes, written
+from rolloutlens.llm.common import drop_files, from_planes, ngrams, own_shuffles_dropped, planes, real_id, word_hashes, written
 
 #: What a step down costs (the fixed value of the method).
 BACKOFF = 0.4
@@ -127,9 +127,9 @@ def exchanged(blocks: DataFrame, orders: int, partitions: int) -> list[DataFrame
         sent = blocks.groupBy("block").cogroup(reduce(DataFrame.unionAll, tables).groupBy("block")).applyInArrow(later(k), _SENT) if k else blocks.mapInArrow(first, _SENT)
         return written(sent.groupBy("p").applyInArrow(_totals(k), "block long, stage int, p int, totals binary"), "lm-totals", compression="zstd")
 
-    for k in range(len(stages)):
-        tables.append(exchange(k))
-        release_shuffles(blocks.sparkSession)
+    with own_shuffles_dropped(blocks.sparkSession):
+        for k in range(len(stages)):
+            tables.append(exchange(k))
     return tables
 
 
@@ -167,7 +167,8 @@ def lm_scores(docs: DataFrame, orders: int = 3) -> DataFrame:
     partitions = max(12, size // 5 // PARTITION)  # a word and its space are 6 to 7 bytes; unigrams and bigrams, of which a third repeat in a block
     totals = exchanged(blocks, orders, partitions)
     scored = blocks.groupBy("block").cogroup(reduce(DataFrame.unionAll, totals).groupBy("block")).applyInArrow(_block_scores(orders, partitions), "did long, n_words long, used array<long>, log_sum double")
-    scored = written(scored, "lm-scores")
+    with own_shuffles_dropped(docs.sparkSession):
+        scored = written(scored, "lm-scores")
     drop_files(docs.sparkSession, blocks, *totals)
     words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
     score = F.col("log_sum") - F.col("used")[0] * F.log(F.greatest(F.col("words") - F.col("n_words"), F.lit(1)))
