@@ -38,14 +38,14 @@ def _bare(number: Column) -> Column:
     return F.replace(number, F.lit(","), F.lit(""))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, found once: a filter pushed below would otherwise copy it to every place that uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clean_fraction(text: Column) -> Column:
     """A LaTeX fraction as a/b, a leading minus turning the numerator's sign; anything else without commas."""
-    return _let(text, _clean_fraction)
+    return let(text, _clean_fraction)
 
 
 def _clean_fraction(s: Column) -> Column:
@@ -56,7 +56,7 @@ def _clean_fraction(s: Column) -> Column:
 
 def to_number(s: Column) -> Column:
     """Double of a number or of a/b; null for anything else."""
-    return _let(F.trim(_bare(s)), _to_number)
+    return let(F.trim(_bare(s)), _to_number)
 
 
 def _to_number(bare: Column) -> Column:
@@ -78,8 +78,8 @@ def predicted(text: Column) -> Column:
     lone = F.filter(F.array(_all(text, NUMBER, 0)), lambda x: F.size(x) == 1)
     found = {"boxed": _last(text, BOXED), "####": _first(text, HASHES), "the_answer_is": _first(text, ANSWER_IS), "bold": _last(text, BOLD), "single_number_fallback": F.get(F.flatten(lone), F.lit(0))}
     best = lambda m, c: F.transform(F.array_compact(F.array(c)), lambda x: F.struct(x.alias("pred"), F.lit(m).alias("method")))
-    first = _let(F.concat(*[best(m, c) for m, c in found.items()]), lambda x: F.coalesce(F.get(x, F.lit(0)), F.struct(F.lit(None).cast("string").alias("pred"), F.lit("no_answer").alias("method"))))
-    return _let(first, lambda x: F.struct(F.when(x["method"] == "boxed", _clean_fraction(x["pred"])).otherwise(_bare(x["pred"])).alias("pred"), x["method"].alias("method")))
+    first = let(F.concat(*[best(m, c) for m, c in found.items()]), lambda x: F.coalesce(F.get(x, F.lit(0)), F.struct(F.lit(None).cast("string").alias("pred"), F.lit("no_answer").alias("method"))))
+    return let(first, lambda x: F.struct(F.when(x["method"] == "boxed", _clean_fraction(x["pred"])).otherwise(_bare(x["pred"])).alias("pred"), x["method"].alias("method")))
 
 
 def grade(rows: DataFrame, text: str = "response", label: str = "gold") -> DataFrame:

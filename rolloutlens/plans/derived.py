@@ -104,18 +104,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
 
 
+def in_threes(g: Column) -> Column:
+    """How many elements of a sorted array occur three times or more: such an element has two equal neighbours."""
+    like = lambda i, a, b: F.coalesce((F.get(g, i + a) == F.get(g, i)) & (F.get(g, i + b) == F.get(g, i)), F.lit(False))
+    return F.size(F.filter(F.sequence(F.lit(0), F.size(g)), lambda i: like(i, 1, 2) | like(i, -1, 1) | like(i, -2, -1)))
+
+
 def trigram_repetition(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_repeated, ratio): the share of trigram positions whose trigram occurs three times or more; 0 for fewer than five words."""
-    base = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
-    n = F.size("w")
-    grams = F.when(n >= 5, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<long>"))
-    sized = base.select("doc_id", n.cast("long").alias("n_words"), grams.alias("g"))
-    counted = sized.select("doc_id", F.explode("g").alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c"))
-    share = counted.groupBy("doc_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") >= 3, F.col("c")).otherwise(0)).alias("r"))
-    zero = F.lit(0).cast("long")
-    return sized.select("doc_id", "n_words").join(share, "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("r", zero).alias("n_repeated"), F.coalesce(F.try_divide(F.col("r").cast("double"), F.col("n")), F.lit(0.0)).alias("ratio")
-    )
+    none = F.array().cast("array<string>")
+    grams = lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(none)
+    measured = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), G.let(F.sort_array(grams(w)), lambda g: F.struct(F.size(g).alias("n"), in_threes(g).cast("long").alias("r"))).alias("g"))
+    m = docs.select("doc_id", G.let(words(F.coalesce("text", F.lit(""))), measured).alias("m"))
+    return m.select("doc_id", "m.n_words", F.col("m.g.r").alias("n_repeated"), F.coalesce(F.try_divide(F.col("m.g.r").cast("double"), F.col("m.g.n")), F.lit(0.0)).alias("ratio"))
 
 
 _TRIGRAM_SQL = f"""with w as (select doc_id, {_WORDS("coalesce(text, '')")} as w from @documents),
