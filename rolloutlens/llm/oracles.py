@@ -86,6 +86,33 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUALITY = _quality()
 
+#: Lines by the pattern; the draws are the first four groups of eight hexadecimal digits.
+FILL_MIDDLE = r"""with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as l, sha256(concat('7:', doc_id)) as h from documents),
+d as (select *, len(l) as n, list_transform(range(0, 4), lambda k: list_reduce(list_prepend(0::bigint, list_transform(string_split(substr(h, 8 * k + 1, 8), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::bigint)), lambda s, x: 16 * s + x)) as r from t),
+c as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or r[3] % 100 >= 100 then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form from d),
+p as (select *, array_to_string(l[1:a], '') as prefix, array_to_string(l[a + 1:b], '') as middle, array_to_string(l[b + 1:n], '') as suffix from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then concat('<P>', prefix, '<S>', suffix, '<M>', middle) else concat('<S>', suffix, '<P>', prefix, '<M>', middle) end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Assignment and means, one pair of tables a round. Whole-number division is done on remainders, so that it rounds down."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select vec_id, min(struct_pack(distance := s, cluster := c)) as m from (select vec_id, c, sum((v.x - p.x) * (v.x - p.x))::bigint as s from v join p{i} p on p.d = v.d group by vec_id, c) y group by vec_id)""")
+        if i < rounds:
+            steps.append(f"""p{i + 1} as materialized (select p.c, p.d, coalesce(m.x, p.x) as x from p{i} p left join (select m.cluster as c, d, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as x from a{i} a join v on v.vec_id = a.vec_id group by 1, 2) m on m.c = p.c and m.d = p.d)""")
+    return f"""with k as (select vec_id, embedding as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+v as materialized (select vec_id, unnest(range(1, 65)) as d, unnest(list_transform(e, lambda x: floor(64 * x::double)::bigint)) as x from k),
+f as (select vec_id, row_number() over (order by sha256(concat('1:', vec_id))) - 1 as c from k qualify c < 16),
+p0 as materialized (select c, d, x from f join v using (vec_id)), {", ".join(steps)},
+h as (select c, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from p{rounds} group by c)
+select vec_id, m.cluster::int as cluster, m.distance as distance, sum(m.distance) over (partition by m.cluster)::bigint as cluster_inertia, sum(m.distance) over ()::bigint as inertia, centroid_sha256 from a{rounds} join h on h.c = m.cluster"""
+
+
+CLUSTERS = _clusters()
+
 ORACLES = {
     "op3_line_dedup": LINE_DEDUP,
     "op4_lm_scores": LM_SCORES,
@@ -93,4 +120,6 @@ ORACLES = {
     "op7_benchmark_decontamination": DECONTAMINATION,
     "op8_ngram_jaccard_join": JACCARD,
     "op10_suffix_array_dedup": SUFFIX_DEDUP,
+    "op11_centroid_clustering": CLUSTERS,
+    "op12_fill_middle": FILL_MIDDLE,
 }

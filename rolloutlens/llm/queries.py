@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloutlens.llm import decontaminate, jaccard_join, line_dedup, lm_scores, packing, quality, suffix_dedup, token_counts, token_files, url_filter
+from rolloutlens.llm import centroids, decontaminate, fill_middle, fingerprints, jaccard_join, line_dedup, lm_scores, packing, quality, suffix_dedup, token_counts, token_files, url_filter
 from rolloutlens.llm.oracles import ORACLES
 
 
@@ -63,5 +65,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op4_lm_scores, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter, op10_suffix_array_dedup)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, points = centroids.cluster(table(spark, sf_dir, "embeddings"), dims=64, k=16, rounds=3, scale=64, seed=1)
+    named = [(c, hashlib.sha256(",".join(map(str, p)).encode()).hexdigest()) for c, p in enumerate(points)]
+    names = spark.createDataFrame(named, "cluster int, centroid_sha256 string")  # k rows
+    return centroids.with_inertia(placed).join(F.broadcast(names), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"), unit="line", rate=100, spm=50, seed=7)
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_line_dedup, op4_lm_scores, op5_quality_rules, op6_best_fit_packing, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_url_filter, op10_suffix_array_dedup, op11_centroid_clustering, op12_fill_middle, op13_fingerprints)}
 __all__ = ["ORACLES", "QUERIES"]
