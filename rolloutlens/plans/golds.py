@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolloutlens.functions.recompute import CONCEPTS, _gcd, with_recomputed
+from rolloutlens.functions.numbers import gcd_sql
+from rolloutlens.functions.recompute import CONCEPTS, with_recomputed
 from rolloutlens.sources import views
 
 _S = "cast({} as string)".format
@@ -100,7 +101,7 @@ FIXTURES: dict[str, tuple[str, str]] = {
 _NUMBERS = """select row_id, c, u, v, w, k, u % 4 + 2 as b, (u % 4 + 1) * x * x * x + (v % 5 + 1) * x * x + (w % 6 + 1) * x + u % 9 + 1 as value, (u % 8 + 2) * y div {gcd_ay} as lcm_ax, {gcd_yb} as gcd_xb
 from (select p_partkey as row_id, p_partkey % {n} as c, p_partkey as u, p_size + p_partkey % 13 as v, p_partkey % 31 + 3 * p_size as w, cast(floor(p_partkey / {n}) as bigint) as k,
   (p_size + p_partkey % 13) % 50 + 1 as x, cast((p_size + p_partkey % 13) % 6 + 1 as bigint) as y from @part) r"""
-_SPARK_NUMBERS = _NUMBERS.format(n=len(FIXTURES), gcd_ay=_gcd("cast(u % 8 + 2 as bigint)", "y"), gcd_yb=_gcd("cast(w % 20 + 2 as bigint)", "y"))
+_SPARK_NUMBERS = _NUMBERS.format(n=len(FIXTURES), gcd_ay=gcd_sql("cast(u % 8 + 2 as bigint)", "y"), gcd_yb=gcd_sql("cast(w % 20 + 2 as bigint)", "y"))
 _DUCKDB_NUMBERS = _NUMBERS.replace(" div ", " // ").format(n=len(FIXTURES), gcd_ay="gcd(u % 8 + 2, y)", gcd_yb="gcd(w % 20 + 2, y)")
 _NAME = "case c " + " ".join(f"when {i} then '{name}'" for i, name in enumerate(FIXTURES)) + " end"
 #: Stored golds: one in eleven is one too high, one in 37 no number.
@@ -111,6 +112,10 @@ GOLDS = f"select row_id, {_NAME} as concept, cast(case c {' '.join(f'when {i} th
 _GOLDS_STORED = f"select row_id, concept, recomputed, {_STORED} as answer from (select *, coalesce(recomputed, 0) as gold from ({GOLDS}) g) s"
 
 
+#: Why a text gives no 64-bit gold, where its concept is known.
+REASONS = ("unread", "domain", "overflow", "too_large")
+
+
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, concept, problem): a text for each row of ``part``, the concepts by turns."""
     texts = f"case c {' '.join(f'when {i} then {text}' for i, (text, _) in enumerate(FIXTURES.values()))} end"
@@ -132,17 +137,58 @@ def mismatch(answer: Column, gold: Column) -> Column:
 
 
 def report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By concept: rows, rows whose text could be read, bad golds among those, and what that says."""
+    """By concept: rows, rows whose text gave a gold, bad golds among those, why the others gave none, and what that says."""
     bad = F.col("recomputed").isNotNull() & mismatch(F.col("answer"), F.col("recomputed"))
-    counts = _stored(spark, sf_dir).groupBy("concept").agg(F.count("*").alias("n"), F.count("recomputed").alias("checked"), F.count_if(bad).alias("bad"))
+    why = [F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in REASONS]
+    counts = _stored(spark, sf_dir).groupBy("concept").agg(F.count("*").alias("n"), F.count("recomputed").alias("checked"), F.count_if(bad).alias("bad"), *why)
     flag = F.when(F.col("checked") == 0, "unchecked").when(2 * F.col("bad") > F.col("checked"), "checker_suspect").when(F.col("bad") > 0, "bad_golds").otherwise("ok")
     return counts.withColumn("flag", flag)
 
 
-_REPORT_SQL = f"""select concept, n, checked, bad, case when checked = 0 then 'unchecked' when 2 * bad > checked then 'checker_suspect' when bad > 0 then 'bad_golds' else 'ok' end as flag
+#: Every text of the fixtures can be read; one that asks for even divisors in a chain has no answer there.
+_REPORT_SQL = f"""select concept, n, checked, bad, 0::bigint as n_unread, n - checked as n_domain, 0::bigint as n_overflow, 0::bigint as n_too_large,
+  case when checked = 0 then 'unchecked' when 2 * bad > checked then 'checker_suspect' when bad > 0 then 'bad_golds' else 'ok' end as flag
 from (select concept, count(*) as n, count(recomputed) as checked, count(*) filter (where recomputed is not null and (answer = 'n/a' or cast(recomputed as string) <> answer)) as bad from ({_GOLDS_STORED}) g group by concept) c"""
 
 
+def examples(spark: SparkSession, sf_dir: str, most: int = 25) -> DataFrame:
+    """The first bad golds, for the end of the report: at most ``most`` rows (row_id, concept, answer, recomputed)."""
+    bad = _stored(spark, sf_dir).where(F.col("recomputed").isNotNull() & mismatch(F.col("answer"), F.col("recomputed")))
+    return bad.select("row_id", "concept", "answer", "recomputed").orderBy("row_id").limit(most)
+
+
+_EXAMPLES_SQL = f"select row_id, concept, answer, recomputed from ({_GOLDS_STORED}) g where recomputed is not null and (answer = 'n/a' or cast(recomputed as string) <> answer) order by row_id limit 25"
+
+
+#: Texts over long numbers, made of the numbers a, b and c of a row; the oracle has 128 bits.
+_LONG = {
+    "custom_binary_op": (_text("Let x#y = x+y+xy. Find ((", "=a + 100000", "#", "=b + 200000", ")#", "=c + 300000", ")#", "=a + 400000", "."), "(a + 100001)::hugeint * (b + 200001) * (c + 300001) * (a + 400001) - 1"),
+    "alternating_cubes": (_text("Find -1^3 + 2^3 - ... up to ", "=2 * (a * 100003 + b)", " cubed."), "(a * 100003 + b)::hugeint * (a * 100003 + b) * (4 * (a * 100003 + b) + 3)"),
+    "complex_eq_solcount": (_text("How many complex numbers satisfy z^", "=a + 1", "000000000000000000000 = conj(z)?"), "(a + 1) * 1000000000000000000000::hugeint + 2"),
+    # divisors of 2^i 3^j 5^k 7^l: all, and the odd ones
+    "constrained_divisor_count": (_text("How many positive divisors of ", "=shiftleft(1L, a % 12 + 1) * case b % 4 when 0 then 1L when 1 then 3L when 2 then 9L else 27L end * case c % 3 when 0 then 1L when 1 then 5L else 25L end * 2401L", " are odd?"), "((b % 4 + 1) * (c % 3 + 1) * 5)::hugeint"),
+    "divisor_sum_filter": (_text("Add up the odd divisors of ", "=shiftleft(1L, a % 12 + 1) * case b % 4 when 0 then 1L when 1 then 3L when 2 then 9L else 27L end * 823543L", "."), "((case b % 4 when 0 then 1 when 1 then 4 when 2 then 13 else 40 end) * 960800)::hugeint"),
+    "prime_power_divisors": (_text("What is the smallest whole number with exactly ", "=case a % 8 when 0 then 13 when 1 then 17 when 2 then 19 when 3 then 23 when 4 then 43 when 5 then 61 when 6 then 67 else 101 end", " positive divisors?"), "power(2::hugeint, case a % 8 when 0 then 12 when 1 then 16 when 2 then 18 when 3 then 22 when 4 then 42 when 5 then 60 when 6 then 66 else 100 end)::hugeint"),
+    "modular_exponent": (_text("What remains when ", "=a % 1000 + 2", "^1099511627776 is divided by ", "=b + 3", "?"), "list_reduce(list_prepend((a % 1000 + 2)::hugeint % (b + 3), range(0, 40)::hugeint[]), lambda s, x: s * s % (b + 3))"),
+    "ordered_triple_constraint": (_text("How many triples a<b<c sum to ", "=a * 1000000007 + b", "?"), "((a * 1000000007 + b)::hugeint * (a * 1000000007 + b) + 6) // 12"),
+    "perfect_square_divisible": (_text("How many squares below ", "=(a + 5) * (a + 5) * 100000000L", " are multiples of ", "=72", "?"), "((a + 5)::hugeint * 10000 - 1) // 12"),
+    "modular_exponent_by_zero": (_text("What remains when ", "=a", "^", "=b", " is divided by 0?"), "null::hugeint"),
+}
+_LONG_NUMBERS = "select p_partkey as row_id, p_partkey as a, p_size + p_partkey % 13 as b, p_partkey % 31 + 3 * p_size as c, p_partkey % {n} as k from @part".format(n=len(_LONG))
+_LONG_NAME = "replace(case k " + " ".join(f"when {i} then '{name}'" for i, name in enumerate(_LONG)) + " end, '_by_zero', '')"
+
+
+def recompute_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over long numbers: the digits of the gold (- without one) and why 64 bits have none (- otherwise)."""
+    texts = f"case k {' '.join(f'when {i} then {text}' for i, (text, _) in enumerate(_LONG.values()))} end"
+    done = with_recomputed(views.query(spark, sf_dir, f"select row_id, {_LONG_NAME} as concept, {texts} as problem from ({_LONG_NUMBERS}) n"))
+    return done.select("row_id", "concept", F.coalesce("exact", F.lit("-")).alias("digits"), F.coalesce("reason", F.lit("-")).alias("reason"))
+
+
+_LONG_SQL = f"""select row_id, concept, coalesce(g::varchar, '-') as digits, case when g is null then 'domain' when g > 9223372036854775807 then 'overflow' else '-' end as reason
+from (select row_id, {_LONG_NAME} as concept, case k {' '.join(f'when {i} then {gold}' for i, (_, gold) in enumerate(_LONG.values()))} end as g from ({_LONG_NUMBERS}) n) x"""
+
+
 def gate(rows: DataFrame) -> DataFrame:
     """(concept, ok, detail) for ``rows`` (row_id, concept, problem, answer, recomputed): each text counts once, by its first row.
 
@@ -189,15 +235,32 @@ def repair(rows: DataFrame, concept: str = "continued_fraction") -> DataFrame:
 
 
 def repair_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair(_stored(spark, sf_dir).withColumn("problem", F.concat("concept", F.lit(" "), F.expr("row_id div 64")))).select("row_id", "concept", "answer", "changed")
+    return repair(_repairable(spark, sf_dir)).select("row_id", "concept", "answer", "changed")
+
+
+def _repairable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).withColumn("problem", F.concat("concept", F.lit(" "), F.expr("row_id div 64")))
+
+
+def repair_report(spark: SparkSession, sf_dir: str, concept: str = "continued_fraction") -> DataFrame:
+    """One row: rows of the concept, golds that were set right, texts that gave none, and all rows before and after each text counts once."""
+    rows = _repairable(spark, sf_dir)
+    own = F.col("concept") == concept
+    wrong = own & F.col("recomputed").isNotNull() & (F.coalesce("answer", F.lit("")) != F.col("recomputed").cast("string"))
+    return rows.agg(F.count_if(own).alias("n"), F.count_if(wrong).alias("fixed"), F.count_if(own & F.col("recomputed").isNull()).alias("unparsed"), F.count("*").alias("n_before"), F.count_distinct("problem").alias("n_after"))
 
 
+_REPAIR_REPORT_SQL = f"""select count(*) filter (where concept = 'continued_fraction') as n, count(*) filter (where concept = 'continued_fraction' and recomputed is not null and answer <> cast(recomputed as string)) as fixed,
+  count(*) filter (where concept = 'continued_fraction' and recomputed is null) as unparsed, count(*) as n_before, count(distinct concept || ' ' || (row_id // 64)) as n_after from ({_GOLDS_STORED}) g"""
 _REPAIR_SQL = f"""select row_id, concept, case when wrong then cast(recomputed as string) else answer end as answer, wrong as changed from (select *, concept = 'continued_fraction' and recomputed is not null and answer <> cast(recomputed as string) as wrong,
   row_number() over (partition by concept, row_id // 64 order by row_id) as r from ({_GOLDS_STORED}) g) x where r = 1"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "recompute_all": (recompute_all, f"select row_id, concept, coalesce(recomputed, -1) as recomputed from ({GOLDS}) g"),
     "recompute_all_report": (report_all, _REPORT_SQL),
+    "recompute_examples": (examples, _EXAMPLES_SQL),
+    "recompute_long": (recompute_long, _LONG_SQL),
+    "repair_report": (repair_report, _REPAIR_REPORT_SQL),
     "gate_golds_all": (gate_all, _GATE_SQL),
     "repair_golds": (repair_golds, _REPAIR_SQL),
 }
