@@ -1,28 +1,107 @@
-"""Structured Streaming jobs over the same operators. Each reads files as a stream until all that is there is done, and can be started again on its checkpoint."""
+"""Structured Streaming jobs over the same operators. Each reads files as a stream until all that is there is done, and can be started again on its checkpoint.
+
+What has been seen is kept in Spark's state store, so no job reads its own output.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rolloutlens.functions import grading
 from rolloutlens.sources.files import scratch
 
+#: Files that a micro-batch takes.
+BATCH_FILES = 4
+#: How long after its latest row a timed group stays in the state: it waits for its last rows, or knows late repeats.
+KEEP_MS = 24 * 3600 * 1000
+
+
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
+
+
+def _to_files(stream: DataFrame, output: str, checkpoint: str) -> None:
+    stream.writeStream.outputMode("append").format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
 def grade_stream(spark: SparkSession, rollouts: str, output: str, checkpoint: str) -> None:
-    """Grade the rollouts that ``output`` doesn't hold yet and append them; stopped and started again, none comes twice."""
-    schema = spark.read.parquet(rollouts).schema
+    """Grade each rollout once and append it: keys that came before are known by the state, also after a restart, and the file sink takes a batch whole or not at all."""
     keys = ["problem_id", "arm", "rollout_idx"]
-    graded_schema = grading.grade(spark.createDataFrame([], schema)).select(*keys, "pred", "method", "ok").schema
-    spark.createDataFrame([], graded_schema).write.mode("append").parquet(output)
+    graded = grading.grade(_stream(spark, rollouts).dropDuplicates(keys)).select(*keys, "pred", "method", "ok")
+    _to_files(graded, output, checkpoint)
+
+
+def complete_groups(stream: DataFrame, keys: list[str], index: str, expected: str, sums: dict[str, Column], time: str | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
+    """A row for each group of a stream, told once, when its last row comes: keys, n and the sums of ``sums``, and complete.
+
+    ``expected`` says how many rows a group has, ``index`` (from 0) which one a row is; rows that come again are left out. A group's state is its bits and sums. Null keys make a group;
+    rows without an index or a count are left out. With ``time`` (an event time that has a watermark) a group is dropped ``keep_ms`` after its latest row, and one that isn't full by then is
+    told as it stands, with complete false; without it, states stay.
+    """
+    kinds = dict(stream.dtypes)
+    when = F.unix_millis(F.col(time)).alias("_t") if time else F.lit(0).cast("long").alias("_t")
+    rows = stream.where((F.col(index) >= 0) & F.col(expected).isNotNull()).select(*keys, *([time] if time else []), F.col(index).cast("long").alias("_i"), F.col(expected).cast("long").alias("_of"), when, *[c.cast("double").alias(f"_{k}") for k, c in sums.items()])
+    names, columns, timed = [f"_{k}" for k in sums], [*keys, "n", *sums, "complete"], time is not None
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bits, told, latest, totals = state.get if state.exists else ("0", False, 0, [0.0] * len(names))
+        seen, totals, wanted = int(bits, 16), list(totals), 0  # bits as text: groups may have more rows than a number has bits
+
+        def row(complete: bool) -> pd.DataFrame:
+            return pd.DataFrame([[*key, seen.bit_count(), *totals, complete]], columns=columns)
+
+        if state.hasTimedOut:
+            state.remove()
+            if not told:
+                yield row(False)
+            return
+        for batch in batches:
+            for i, of, at, *values in batch[["_i", "_of", "_t", *names]].itertuples(index=False):
+                wanted, latest = max(wanted, int(of)), max(latest, int(at))
+                if not seen >> int(i) & 1:
+                    seen |= 1 << int(i)
+                    totals = [t + (0.0 if v != v else v) for t, v in zip(totals, values, strict=True)]
+        done = not told and seen.bit_count() >= wanted
+        state.update((format(seen, "x"), told or done, latest, totals))
+        if timed:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep_ms)
+        if done:
+            yield row(True)
+
+    out = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["n long"] + [f"{k} double" for k in sums] + ["complete boolean"])
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(step, out, "seen string, told boolean, latest long, totals array<double>", "append", timeout)
+
+
+def calibrate_stream(spark: SparkSession, rollouts: str, output: str, checkpoint: str) -> None:
+    """(problem_id, arm, concept, n, correct, pass_rate, zone) of a problem, appended when its last rollout (of ``n_rollouts``) has come."""
+    graded = grading.grade(_stream(spark, rollouts))
+    groups = complete_groups(graded, ["problem_id", "arm", "concept"], "rollout_idx", "n_rollouts", {"correct": F.col("ok").cast("int")}).where("complete")
+    correct = F.col("correct").cast("long")
+    _to_files(groups.select("problem_id", "arm", "concept", "n", correct.alias("correct"), (F.col("correct") / F.col("n")).alias("pass_rate"), grading.zone(correct, F.col("n")).alias("zone")), output, checkpoint)
+
+
+def cadence(step: Column, last: Column, every: int) -> Column:
+    """Whether a step is looked at: the first (0), every ``every``-th and the last."""
+    return (step % every == 0) | (step == last)
+
+
+def health_stream(every: int = 50) -> Callable[[SparkSession, str, str, str], None]:
+    """A job: (run, step, n, pass_rate, boxed_rate, mean_tokens) of the steps on the ``cadence``, each appended when all its rollouts have come; other steps don't reach the state."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        done = batch.sparkSession.read.schema(graded_schema).parquet(output).select(*keys)
-        todo = batch.dropDuplicates(keys).join(done, keys, "left_anti")
-        grading.grade(todo).select(*keys, "pred", "method", "ok").write.mode("append").parquet(output)
+    def job(spark: SparkSession, rollouts: str, output: str, checkpoint: str) -> None:
+        chosen = grading.grade(_stream(spark, rollouts).where(cadence(F.col("step"), F.col("last_step"), every)))
+        sums = {"correct": F.col("ok").cast("int"), "boxed": (F.col("method") == "boxed").cast("int"), "tokens": F.col("n_tokens")}
+        groups = complete_groups(chosen, ["run", "step"], "at", "n_step", sums).where("complete")
+        _to_files(groups.select("run", "step", "n", *[(F.col(c) / F.col("n")).alias(a) for c, a in (("correct", "pass_rate"), ("boxed", "boxed_rate"), ("tokens", "mean_tokens"))]), output, checkpoint)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(rollouts)
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return job
 
 
 def running_log(spark: SparkSession, events: str, output: str, checkpoint: str) -> None:
