@@ -13,7 +13,7 @@ HEADER = r"(\d)/8\s+correct\s+(\S+)\s+gold=(-?[\d/.]+)\s+grades=\[([^\]]+)\]"
 ROLLOUT = r"---\s*rollout\s+(\d+)\s*\(graded\s+(CORRECT|WRONG)\)\s*---"
 ZONES = "GOLDILOCKS|TOO_HARD|TOO_EASY|BORDERLINE"
 #: Where a line break comes back, in this order: before display maths, after it, before words that start a step, and before list numbers.
-BREAKS = [(r"\s*\\\[\s*", "\n\\\\\\\\[ "), (r"\s*\\\]\s*", " \\\\\\\\]\n"), (r"\s+(Step\s+\d+)", "\n$1"), (r"\s+(###+\s)", "\n$1"), (r"\s+(Therefore,|Thus,|So,|Finally,|Hence,)", "\n$1"), (r"(?<=[.\]])\s+(\d{1,2}\.\s)", "\n$1")]
+BREAKS = [(r"\s*\\\[\s*", "\n\\\\[ "), (r"\s*\\\]\s*", " \\\\]\n"), (r"\s+(Step\s+\d+)", "\n$1"), (r"\s+(###+\s)", "\n$1"), (r"\s+(Therefore,|Thus,|So,|Finally,|Hence,)", "\n$1"), (r"(?<=[.\]])\s+(\d{1,2}\.\s)", "\n$1")]
 _CUT = "\x01"
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolloutlens.functions import failures
 from rolloutlens.functions import grading as G
 from rolloutlens.sources import files, views
 from rolloutlens.streaming import jobs
@@ -100,26 +101,16 @@ _ABLATION_SQL = f"""select g.arm, count(*) as n, count(*) filter (where g.ok) as
 # --- text measures ---------------------------------------------------------------------------------------------------
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
-
-
-def in_threes(g: Column) -> Column:
-    """How many elements of a sorted array occur three times or more: such an element has two equal neighbours."""
-    like = lambda i, a, b: F.coalesce((F.get(g, i + a) == F.get(g, i)) & (F.get(g, i + b) == F.get(g, i)), F.lit(False))
-    return F.size(F.filter(F.sequence(F.lit(0), F.size(g)), lambda i: like(i, 1, 2) | like(i, -1, 1) | like(i, -2, -1)))
-
-
 def trigram_repetition(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_repeated, ratio): the share of trigram positions whose trigram occurs three times or more; 0 for fewer than five words."""
     none = F.array().cast("array<string>")
     grams = lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(none)
-    measured = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), G.let(F.sort_array(grams(w)), lambda g: F.struct(F.size(g).alias("n"), in_threes(g).cast("long").alias("r"))).alias("g"))
-    m = docs.select("doc_id", G.let(words(F.coalesce("text", F.lit(""))), measured).alias("m"))
+    measured = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), G.let(F.sort_array(grams(w)), lambda g: F.struct(F.size(g).alias("n"), failures.in_threes(g).cast("long").alias("r"))).alias("g"))
+    m = docs.select("doc_id", G.let(failures.words(F.lower(F.coalesce("text", F.lit("")))), measured).alias("m"))
     return m.select("doc_id", "m.n_words", F.col("m.g.r").alias("n_repeated"), F.coalesce(F.try_divide(F.col("m.g.r").cast("double"), F.col("m.g.n")), F.lit(0.0)).alias("ratio"))
 
 
-_TRIGRAM_SQL = f"""with w as (select doc_id, {_WORDS("coalesce(text, '')")} as w from @documents),
+_TRIGRAM_SQL = f"""with w as (select doc_id, {_WORDS("lower(coalesce(text, ''))")} as w from @documents),
 g as (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) as g from w where len(w) >= 5),
 c as (select doc_id, g, count(*) as c from g group by doc_id, g),
 s as (select doc_id, sum(c) as n, sum(case when c >= 3 then c else 0 end) as r from c group by doc_id)
@@ -128,13 +119,13 @@ select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(r, 0) as bigin
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated): whether a stripped line of more than 15 characters occurs three times or more."""
-    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).select("doc_id", F.trim("x").alias("x"))
+    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).select("doc_id", F.btrim("x", F.lit(failures.BLANKS)).alias("x"))
     counts = lines.groupBy("doc_id", "x").agg(F.count("*").alias("c"))
     return counts.groupBy("doc_id").agg(F.max((F.length("x") > 15) & (F.col("c") >= 3)).alias("repeated"))
 
 
 _LINES_SQL = """select doc_id, bool_or(length(x) > 15 and c >= 3) as repeated from (select doc_id, x, count(*) as c from
-  (select doc_id, trim(x) as x from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x from @documents)) group by doc_id, x) group by doc_id"""
+  (select doc_id, trim(x, chr(9) || chr(11) || chr(12) || chr(13) || ' ') as x from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x from @documents)) group by doc_id, x) group by doc_id"""
 
 
 def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,32 +144,13 @@ from (select *, list_transform(regexp_extract_all(response, '-?\d[\d,]*\.?\d*',
 
 
 def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first wrong rollout of each problem and arm, by kind of failure."""
-    graded = views.frame(spark, sf_dir, "graded")
-    firsts = graded.groupBy("problem_id", "arm", "concept").agg(
-        F.min_by(F.when(~F.col("ok"), F.struct("response", "method")), F.when(~F.col("ok"), F.col("rollout_idx"))).alias("wrong"),
-        F.min_by(F.when(F.col("ok"), F.col("response")), F.when(F.col("ok"), F.col("rollout_idx"))).alias("right"),
-    )
-    rows = firsts.where("wrong is not null").select("problem_id", "arm", "concept", "wrong", words(F.col("wrong.response")).alias("w"), F.size(words(F.coalesce("right", F.lit("")))).alias("n_right"), "right")
-    n = F.size("w")
-    grams = F.when(n >= 5, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<string>"))
-    held = rows.withColumn("g", F.sort_array(grams))
-    like = lambda i, a, b: (F.get("g", i + a) == F.get("g", i)) & (F.get("g", i + b) == F.get("g", i))
-    # in order, one of three equal ones or more has two equal neighbours
-    repeated = F.size(F.filter(F.sequence(F.lit(0), F.size("g")), lambda i: F.coalesce(like(i, 1, 2), F.lit(False)) | F.coalesce(like(i, -1, 1), F.lit(False)) | F.coalesce(like(i, -2, -1), F.lit(False))))
-    mode = (
-        F.when(F.col("wrong.method") == "no_answer", "format_failure")
-        .when(F.col("right").isNotNull() & (10 * n < 4 * F.col("n_right")) & (n < 50), "early_termination")
-        .when(4 * repeated > F.size("g"), "repetition_loop")
-        .otherwise("calculation_error")
-    )
-    return held.select("problem_id", "arm", "concept", mode.alias("mode"))
-
-
-_FAILURE_SQL = f"""select problem_id, arm, concept, case when method = 'no_answer' then 'format_failure' when n_right is not null and 10 * len(w) < 4 * n_right and len(w) < 50 then 'early_termination'
-  when len(w) >= 5 and 4 * len(list_filter(g, lambda x: len(list_filter(g, lambda y: y = x)) >= 3)) > len(g) then 'repetition_loop' else 'calculation_error' end as mode
-from (select *, list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) as g from (select problem_id, arm, concept, arg_min(method, rollout_idx) filter (where not ok) as method,
-  {_WORDS("arg_min(response, rollout_idx) filter (where not ok)")} as w, len({_WORDS("arg_min(response, rollout_idx) filter (where ok)")}) as n_right from @graded group by problem_id, arm, concept having count(*) filter (where not ok) > 0))"""
+    """The first wrong rollout of each problem and arm, by kind of failure; there is no worked gold solution."""
+    rows = failures.first_rollouts(views.frame(spark, sf_dir, "graded"))
+    return rows.select("problem_id", "arm", "concept", failures.kind(F.col("method"), F.col("wrong"), F.col("right")).alias("mode"))
+
+
+_FAILURE_SQL = failures.kind_sql("""select problem_id, arm, concept, arg_min(method, rollout_idx) filter (where not ok) as method, arg_min(response, rollout_idx) filter (where not ok) as wrong, arg_min(response, rollout_idx) filter (where ok) as rightly,
+  '' as question, '' as gold_text from @graded group by problem_id, arm, concept having count(*) filter (where not ok) > 0""")
 
 
 def failure_frac(spark: SparkSession, sf_dir: str) -> DataFrame:

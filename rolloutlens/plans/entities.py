@@ -83,6 +83,15 @@ def entity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.crossJoin(F.broadcast(none)).select("bucket", "n", F.round("accuracy", 9).alias("accuracy"), F.round(F.col("accuracy") - F.col("base"), 9).alias("delta"), (F.col("n") < 15).alias("few"))
 
 
+def entity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean quality label of texts with no name, one or two, three and more, and whether there are too few texts (below 15) to say."""
+    labels = views.frame(spark, sf_dir, "labels").select("doc_id", "quality")
+    n = F.size("names")
+    band = F.when(n == 0, "0").when(n <= 2, "1-2").otherwise("3+")
+    sized = _names(spark, sf_dir).select("doc_id", band.alias("band")).join(labels, "doc_id")
+    return sized.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 9).alias("accuracy"), (F.count("*") < 15).alias("few"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "entity_extract": (entity_extract, _NAMES_SQL + "select doc_id, cast(len(names) as bigint) as n_names, coalesce(array_to_string(names, '|'), '') as names from names"),
     "entity_hist": (
@@ -90,6 +99,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _NAMES_SQL + """, n as (select cast(len(names) as bigint) as n from names)
 select least(n, 6) as bucket, count(*) as n_docs, (select min(n) from n) as least, (select avg(n) from n) as mean, (select max(n) from n) as most from n group by least(n, 6)""",
     ),
+    "entity_bands": (
+        entity_bands,
+        _NAMES_SQL + """select ['0', '1-2', '1-2', '3+'][least(len(names), 3) + 1] as band, count(*) as n, round(avg(quality), 9) as accuracy, count(*) < 15 as few from names join @labels l on l.doc_id = names.doc_id group by 1""",
+    ),
     "entity_buckets": (
         entity_buckets,
         _NAMES_SQL + """, f as (select cast(least(len(names), 4) as bigint) as bucket, count(*) as n, avg(quality) as accuracy from names join @labels l on l.doc_id = names.doc_id group by 1)

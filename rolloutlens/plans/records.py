@@ -54,21 +54,21 @@ select file, row_number() over (partition by file order by problem_id) - 1 as pl
   concat('number ', problem_id, '.') as statement, n as n_rollouts, case when last_ok then 'CORRECT' else 'WRONG' end as last_verdict, replace(trim(last), ' #### ', concat(chr(10), '#### ')) as last_body
 from (select *, concat(arm, '-', cast(floor(problem_id / 8) as bigint)) as file from p) q"""
 
-_NOISY = "concat(coalesce(text, ''), ' ________ GOLDILOCKS  Step 2 adds. Thus, it  holds. Hence, 7. 12. Finally, done. So, yes. 3. End')"
+_NOISY = "concat(coalesce(text, ''), ' ________ GOLDILOCKS  Step 2 adds. Thus, it  holds. Hence, 7. 12. Finally, done. So, yes. 3. End ', chr(92), '[ x = 1  ', chr(92), '] follows ', chr(92), '[y', chr(92), ']')"
 
 
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.clean(F.expr(_NOISY)).alias("text"))
 
 
-_CLEAN_STEPS = [("_{5,}", " "), (r"\b(GOLDILOCKS|TOO_HARD|TOO_EASY|BORDERLINE)\b", " "), (r"\s+", " "), (r"^ | $", ""), (r"\s*\\\[\s*", r"\n\\\\[ "), (r"\s*\\\]\s*", r" \\\\]\n"), (r"\s+(Step\s+\d+)", r"\n\1"), (r"\s+(###+\s)", r"\n\1"), (r"\s+(Therefore,|Thus,|So,|Finally,|Hence,)", r"\n\1"), (r"([.\]])\s+(\d{1,2}\.\s)", r"\1\n\2"), (r"([.\]])[ ]+(\d{1,2}\.\s)", r"\1\n\2"), (r"[ \t]+\n", r"\n"), (r"\n[ \t]+", r"\n")]
+_CLEAN_STEPS = [("_{5,}", " "), (r"\b(GOLDILOCKS|TOO_HARD|TOO_EASY|BORDERLINE)\b", " "), (r"\s+", " "), (r"^ | $", ""), (r"\s*\\\[\s*", r"\n\\[ "), (r"\s*\\\]\s*", r" \\]\n"), (r"\s+(Step\s+\d+)", r"\n\1"), (r"\s+(###+\s)", r"\n\1"), (r"\s+(Therefore,|Thus,|So,|Finally,|Hence,)", r"\n\1"), (r"([.\]])\s+(\d{1,2}\.\s)", r"\1\n\2"), (r"([.\]])[ ]+(\d{1,2}\.\s)", r"\1\n\2"), (r"[ \t]+\n", r"\n"), (r"\n[ \t]+", r"\n")]
 
 
 def _nested_replace() -> str:
     sql = _NOISY
     for pattern, by in _CLEAN_STEPS:
         sql = f"regexp_replace({sql}, '{pattern}', '{by.replace(chr(92) + 'n', chr(10))}', 'g')"
-    return f"select doc_id, trim({sql}) as text from @documents"
+    return rf"select doc_id, regexp_replace({sql}, '^\s+|\s+$', '', 'g') as text from @documents"
 
 
 # --- records and files ------------------------------------------------------------------------------------------------

@@ -11,7 +11,6 @@ QUERIES: dict[str, str] = {
     "grade_method_counts": "select method, count(*) as n, count(*) filter (where ok) as n_correct from @graded group by method",
     "grade_rollouts": "select problem_id, arm, rollout_idx, pred, method, case when ok then 1e0 else 0e0 end as reward from @graded",
     "calib_zones": "select concept, arm, zone, count(*) as n from @calib group by concept, arm, zone",
-    "sweet_spot_bands": "select problem_id, arm, correct, case when 4 * correct < n then 'hard' when 4 * correct <= 3 * n then 'sweet' else 'easy' end as band from @calib",
     # calibration
     "calib_problem": """select problem_id, arm, concept, count(*) as n, count(*) filter (where ok) as correct, avg(case when ok then 1e0 else 0e0 end) as mean_reward,
       max(case when ok then 1e0 else 0e0 end) - avg(case when ok then 1e0 else 0e0 end) as max_advantage, round(stddev_pop(case when ok then 1e0 else 0e0 end), 6) as advantage_std from @graded group by problem_id, arm, concept""",
@@ -38,9 +37,6 @@ QUERIES: dict[str, str] = {
       round(coalesce(avg(sqrt(pass_rate * (1 - pass_rate))) filter (where zone = 'goldilocks'), 0), 6) as goldilocks_std from @calib group by arm""",
     "run_meta": """select arm, cast(sum(correct) as double) / sum(n) as overall_pass, count(*) as n_problems, count(*) filter (where zone = 'too_hard') as too_hard, count(*) filter (where zone = 'borderline') as borderline,
       count(*) filter (where zone = 'goldilocks') as goldilocks, count(*) filter (where zone = 'too_easy') as too_easy from @calib group by arm""",
-    "difficulty_dist": "select arm, correct, count(*) as n, round(100e0 * count(*) / sum(count(*)) over (partition by arm), 6) as percent from @calib group by arm, correct",
-    "ghost_batch": """select arm, case when 4 * correct < n then 'hard' when 4 * correct <= 3 * n then 'sweet' else 'easy' end as band, count(*) as n, round(avg(pow(pass_rate, 8) + pow(1 - pass_rate, 8)), 9) as ghost_probability from @calib
-      group by arm, case when 4 * correct < n then 'hard' when 4 * correct <= 3 * n then 'sweet' else 'easy' end""",
     "pass_at_k": f"""select arm, count(*) as n, {_RATE('correct > 0')} as pass_at_k, cast(sum(correct) as double) / sum(n) as mean_pass_rate from @calib group by arm""",
     "checkpoint_matrix": """select concept, c0, c1, c2, c3, round(c3 - c0, 9) as trend from (select concept, round(avg(r) filter (where label = 0), 9) as c0, round(avg(r) filter (where label = 1), 9) as c1, round(avg(r) filter (where label = 2), 9) as c2,
       round(avg(r) filter (where label = 3), 9) as c3 from (select concept, cast(floor(rollout_idx / 2) as int) as label, case when ok then 1e0 else 0e0 end as r from @graded) x group by concept) y""",
@@ -49,7 +45,6 @@ QUERIES: dict[str, str] = {
     # pools
     "dedupe_first": f"select row_id, problem, answer, concept, knob_k from ({_DEDUPED('')}) d",
     "dedupe_last": f"select row_id, problem, answer, concept, knob_k from ({_DEDUPED('desc')}) d",
-    "conflicting_golds": "select problem, count(distinct answer) as n_golds, min(answer) as first_gold, max(answer) as last_gold from @pool group by problem having count(distinct answer) > 1",
     "gate_dedupe": "select concept, count(distinct problem) as kept, count(*) as raw, count(distinct problem) >= 0.9 * count(*) as ok from @pool group by concept",
     "gate_top3": f"""select concept, cast(sum(n) filter (where r <= 3) as double) / sum(n) as share, 10 * sum(n) filter (where r <= 3) <= 3 * sum(n) as ok from
       (select concept, answer, count(*) as n, row_number() over (partition by concept order by count(*) desc, answer) as r from ({_DEDUPED('desc')}) d group by concept, answer) x group by concept""",

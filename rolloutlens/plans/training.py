@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloutlens.functions import grading
@@ -94,9 +94,27 @@ def reward_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STEPS_SQL = f"select arm as run, {_STEP} as step, count(*) as n, count(*) filter (where method <> 'no_answer') as n_parsed, count(*) filter (where ok) as n_correct from @graded group by 1, 2"
 
+def chat_prompt(question: Column, system: str) -> Column:
+    """A prompt as messages: array<struct<role, content>>, the system's first; a null question is empty."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", F.lit(system)), message("user", F.coalesce(question, F.lit(""))))
+
+
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of all conversations, from their first user turn, a row for each message."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    user = F.col("role") == "user"
+    firsts = talks.groupBy("conv_id").agg(F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("q"))
+    return firsts.select("conv_id", F.posexplode(chat_prompt(F.col("q"), "Answer with a box.")).alias("pos", "m")).select("conv_id", F.col("pos").cast("long").alias("pos"), "m.role", "m.content")
+
+
+_MESSAGES_SQL = """with q as (select conv_id, coalesce(arg_min(text, turn) filter (where role = 'user'), '') as q from @conversations group by conv_id)
+select conv_id, 0::bigint as pos, 'system' as role, 'Answer with a box.' as content from q union all select conv_id, 1, 'user', q from q"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "stream_calibration": (stream_calibration, "select problem_id, arm, concept, n, correct, pass_rate, zone from @calib"),
     "stream_health": (stream_health, _HEALTH_SQL),
     "reward_log_dumps": (reward_log_dumps, _DUMPS_SQL),
     "reward_steps": (reward_steps, _STEPS_SQL),
+    "prompt_messages": (prompt_messages, _MESSAGES_SQL),
 }

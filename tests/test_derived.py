@@ -4,10 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from rolloutlens.plans import chains, compare, derived, entities, golds, records, training
+from rolloutlens.plans import calibration, chains, compare, derived, difficulty, entities, golds, records, training
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(derived.QUERIES | entities.QUERIES | compare.QUERIES | golds.QUERIES | chains.QUERIES | records.QUERIES | training.QUERIES)
+NAMES = sorted(derived.QUERIES | entities.QUERIES | compare.QUERIES | golds.QUERIES | chains.QUERIES | records.QUERIES | training.QUERIES | difficulty.QUERIES | calibration.QUERIES)
 
 
 @pytest.fixture(scope="module")

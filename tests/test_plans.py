@@ -5,9 +5,9 @@ from math import gcd
 import pytest
 from pyspark.sql import functions as F
 
-from rolloutlens.functions import recompute
+from rolloutlens.functions import failures, recompute
 from rolloutlens.operators import specs, transcripts
-from rolloutlens.plans import compare, golds
+from rolloutlens.plans import compare, difficulty, golds
 from rolloutlens.sources import files
 
 #: (concept, text, gold) in wordings that the table fixtures don't use.
@@ -115,3 +115,37 @@ def test_numeric_golds(spark):
     golds_ = ["7", "-7", "1/2", "0.5", "7x", "-x", "", " 12 ", "1,000", "1/2/3"]
     got = spark.createDataFrame([(g,) for g in golds_], "g string").select(F.trim("g").rlike(compare.NUMERIC_GOLD).alias("ok")).collect()
     assert [r["ok"] for r in got] == [True, True, True, True, False, False, False, True, False, False]
+
+
+def test_display_maths_keeps_one_backslash(spark):
+    rows = spark.createDataFrame([("a  \\[ x = 1 \\]  b. 2. c\n\n\nThus, d",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(transcripts.clean(F.col("t"))).collect()] == ["a\n\\[ x = 1 \\]\nb.\n2. c\nThus, d", "", None]
+
+
+#: (kind, question, worked solution, wrong answer, right answer)
+KINDS = [
+    ("format_failure", "q", "", "no answer here", "one two three"),
+    ("early_termination", "q", "", "It is \\boxed{5}", "a b c d e f g h i j"),
+    ("repetition_loop", "q", "", "go on and Go On And go on AND go on and \\boxed{5}", None),
+    ("repetition_loop", "q", "", "\\boxed{5}\n the very same line \nx\nthe very same line\t\nthe very same line", None),
+    ("calculation_error", "q", "", "the very same line\nthe very same line\n\\boxed{5} 777 888", None),
+    ("calculation_error", "Take 3 and 4", "3*4=12, 12+1,000=1,012, 1012/2=506 #### 506", "12 then 777 then 888 so \\boxed{500}", None),
+    ("premise_mismatch", "Take 3 and 4", "3*4=12, 12+1000=1012, 1012/2=506 #### 506", "777 then 888.5 so \\boxed{9}", None),
+    ("calculation_error", "Take 3 and 4", "3*4=12, 12+1000=1012, 1012/2=506 #### 506", "777 then 777 so \\boxed{9}", None),
+    ("calculation_error", "Take 777 and 888", "1*4=5 #### 5", "777 then 888 so \\boxed{9}", None),
+    ("premise_mismatch", "Take 12", "3*4=12 #### 40", "12 then 99 and 98 so \\boxed{9}", None),
+    ("calculation_error", None, None, "777 then 888 so \\boxed{9}", ""),
+]
+
+
+def test_kinds_of_failure(spark):
+    rows = spark.createDataFrame([(i, *k) for i, k in enumerate(KINDS)], "i int, want string, question string, gold_text string, wrong string, rightly string")
+    method = F.when(F.contains("wrong", F.lit("boxed")), "boxed").otherwise("no_answer")
+    got = rows.select("i", failures.kind(method, F.col("wrong"), F.col("rightly"), F.col("question"), F.col("gold_text")).alias("k"))
+    assert {r["i"]: r["k"] for r in got.collect()} == {i: k[0] for i, k in enumerate(KINDS)}
+
+
+def test_bands(spark):
+    rows = spark.createDataFrame([(c,) for c in (0, 1, 2, 6, 7, 8, 12, 13)], "c int")
+    assert [r[0] for r in rows.select(difficulty.band(F.col("c"), 2, 6)).collect()] == ["hard", "hard", "sweet", "sweet", "easy", "easy", "easy", "easy"]
+    assert [r[0] for r in rows.select(difficulty.band(F.col("c"), 2, 12)).collect()] == ["hard", "hard", "sweet", "sweet", "sweet", "sweet", "sweet", "easy"]
