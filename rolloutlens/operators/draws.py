@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rolloutlens.functions import numbers
 from rolloutlens.functions.numbers import gcd_sql, power_sql
+from rolloutlens.sources.files import scratch
 
 _POOL = [360, 420, 480, 504, 540, 600, 630, 660, 720, 756, 792, 840, 900, 924, 960, 990, 1008, 1080, 1120, 1152, 1260, 1320, 1440, 1560, 1680, 1800, 1980, 2100, 2520]
 _GT, _LT = [6, 8, 10, 12, 15, 20, 24, 30], [15, 20, 24, 30, 40, 50, 60]
@@ -68,6 +69,10 @@ _DESC = "case cond when 'odd' then 'odd' when 'gt' then concat('greater than ',
 _LOG = "log_{base}({base}^{e1} · {base}^{e2} / {base}^{e3})"
 
 
+#: Knobs whose value is a list of numbers.
+_LISTS = ("cand_range", "rep_cap", "divisor_triples")
+
+
 @dataclass
 class Recipe:
     """How a concept's problem is made of knobs: values named one after another, the gold, the guard over them and ``gold``, wordings with the names of values in braces, and for a
@@ -101,7 +106,8 @@ RECIPES = {
     ),
     "constrained_divisor_count": Recipe(_clause_count("k_num_pool"), ["How many positive divisors of {k_num_pool} are {desc}?", "Of the divisors of {k_num_pool}, how many are {desc}?"], "gold >= 3", {"desc": _DESC}),
     "constrained_subset_count": Recipe(
-        "aggregate(sequence(1L, k_n), 0L, (s, a) -> s + aggregate(sequence(1L, k_n), 0L, (u, b) -> u + if(b > a, size(filter(sequence(1L, k_n), c -> c > b and (a + b + c) % k_mod = r)), 0)))",
+        # for a < b the third number is beyond b and has one remainder
+        "aggregate(sequence(1L, k_n - 1), 0L, (s, a) -> s + aggregate(sequence(a + 1, k_n), 0L, (u, b) -> u + (k_n + k_mod - pmod(r - a - b, k_mod)) div k_mod - (b + k_mod - pmod(r - a - b, k_mod)) div k_mod))",
         ["How many 3-element subsets of {{1,...,{k_n}}} have a sum with remainder {r} when divided by {k_mod}?", "How many size-3 subsets of the first {k_n} positive integers have a sum ≡ {r} (mod {k_mod})?"], "gold >= 5", {"r": "x0 % k_mod"},
     ),
     "divisor_sum_filter": Recipe(
@@ -156,26 +162,33 @@ def drawn_knobs(ids: DataFrame, specs: DataFrame, attempts: int, seed: int) -> D
     return rows.select("id", "concept", "attempt", F.map_from_entries(F.transform("params", lambda p: F.struct(p["param"], value(p)))).alias("knobs"))
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written and read again, so that no formula on top draws its numbers anew."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def pool_draw(ids: DataFrame, specs: DataFrame, wanted: int = 3, attempts: int = 12, seed: int = 42) -> DataFrame:
     """(id, concept, turn, problem, answer, knobs, components, fed_param, fed_value): of ``attempts`` draws for each row (id, concept) the first ``wanted`` that pass the concept's guard.
 
     knobs are those that were used; the last three are null for a concept that isn't composed. Rows of a concept without a recipe or spec give nothing; repeated ids draw alike.
     """
     spark = ids.sparkSession
-    rows = drawn_knobs(ids.where(F.col("concept").isin(*RECIPES)), specs, attempts, seed)
+    rows = _kept(drawn_knobs(ids.where(F.col("concept").isin(*RECIPES)), specs, attempts, seed), "knobs")
     plain = F.trim(F.col("knobs")["cond"])
     base = rows.withColumn("cond", plain).withColumn("t", F.when(plain == "gt", F.col("knobs")["gt_thresholds"]).when(plain == "lt", F.col("knobs")["lt_thresholds"]).cast("long"))
     base = base.withColumns({f"x{k}": _hash(seed, F.col("concept"), f"x{k}", F.col("id"), F.col("attempt")) for k in (0, 1)})
     counts = specs.where("param = 'D'").select(F.explode(F.from_json("value", "array<bigint>")).alias("n_divisors"))
     smallest = numbers.by_divisors(counts).select(F.col("n_divisors").alias("k_D"), F.col("smallest").try_cast("long").alias("smallest"))  # a row for each divisor count of the specs
-    out = None
+    for p in sorted({p for c, p, _, _ in SPECS}):
+        text = F.col("knobs")[p]
+        base = base.withColumn(f"k_{p}", text.try_cast("long"))
+        if p in _LISTS:
+            base = base.withColumns({f"k_{p}_{k}": F.get(F.from_json(text, "array<bigint>"), F.lit(k)) for k in range(3)})
+    base, out = _kept(base.join(F.broadcast(smallest), "k_D", "left"), "drawn"), None
     for concept, recipe in RECIPES.items():
-        names = [p for c, p, _, _ in SPECS if c == concept]
         part = base.where(F.col("concept") == concept)
-        for p in names:
-            text = F.col("knobs")[p]
-            part = part.withColumn(f"k_{p}", text.try_cast("long")).withColumns({f"k_{p}_{k}": F.get(F.from_json(text, "array<bigint>"), F.lit(k)) for k in range(3)})
-        part = part.join(F.broadcast(smallest), "k_D", "left") if "D" in names else part
         for name, sql in recipe.values.items():
             part = part.withColumn(name, F.expr(sql))
         part = part.withColumn("gold", F.expr(recipe.gold).cast("long")).where(f"gold is not null and ({recipe.guard})")
