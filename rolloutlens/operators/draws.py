@@ -59,6 +59,11 @@ SPECS = [
 ]
 
 
+def _column(param: str) -> str:
+    """The column of a knob; names of columns don't tell N from n."""
+    return f"k_{param}" if param.islower() else f"k_{param.lower()}_up"
+
+
 def _clause_count(n: str) -> str:
     return f"size(filter(sequence(1L, {n}), d -> {n} % d = 0 and case cond when 'odd' then d % 2 = 1 when 'gt' then d > t else d < t end))"
 
@@ -86,18 +91,18 @@ class Recipe:
     chain: tuple[list[str], str, str] | None = None
 
 
-#: Knobs are columns k_name (numbers) and cond, t; x0 and x1 are further draws; smallest is the smallest number with k_D divisors.
+#: Knobs are columns k_name (numbers; k_n_up for N) and cond, t; x0 and x1 are further draws; smallest is the smallest number with D divisors.
 RECIPES = {
     "chain_constrained_divisor_count__modular_exponent": Recipe(
         power_sql("k_a", "e", "k_m"), ["Let e be the number of positive divisors of {k_num_pool} that are {desc}. What is the remainder when {k_a}^e is divided by {k_m}?", "Suppose e counts the positive divisors of {k_num_pool} that are {desc}. Compute {k_a}^e mod {k_m}."],
         "e between 4 and 20 and gold >= 5", {"e": _clause_count("k_num_pool"), "desc": _DESC}, (["constrained_divisor_count", "modular_exponent"], "e", "e"),
     ),
     "chain_log_laws__ordered_triple_constraint": Recipe(
-        _TRIPLES("k_N"), [f"How many triples of integers with 0≤a<b<c sum to {_LOG}?", f"In how many ways is {_LOG} a sum of integers 0≤a<b<c?"], "low <= high and gold >= 5",
-        {"low": "greatest(4L, k_N + k_e3 - 20)", "high": "least(20L, k_N + k_e3 - 4)", "e1": "low + x0 % greatest(1L, high - low + 1)", "e2": "k_N + k_e3 - e1", "e3": "k_e3", "base": "k_base"}, (["log_laws", "ordered_triple_constraint"], "N", "k_N"),
+        _TRIPLES("k_n_up"), [f"How many triples of integers with 0≤a<b<c sum to {_LOG}?", f"In how many ways is {_LOG} a sum of integers 0≤a<b<c?"], "low <= high and gold >= 5",
+        {"low": "greatest(4L, k_n_up + k_e3 - 20)", "high": "least(20L, k_n_up + k_e3 - 4)", "e1": "low + x0 % greatest(1L, high - low + 1)", "e2": "k_n_up + k_e3 - e1", "e3": "k_e3", "base": "k_base"}, (["log_laws", "ordered_triple_constraint"], "N", "k_n_up"),
     ),
     "chain_prime_power_divisors__constrained_divisor_count": Recipe(
-        _clause_count("smallest"), ["Let N be the smallest positive integer with exactly {k_D} positive divisors. How many of the divisors of N are {desc}?", "N is the least number that has exactly {k_D} positive divisors. Count the divisors of N that are {desc}."],
+        _clause_count("smallest"), ["Let N be the smallest positive integer with exactly {k_d_up} positive divisors. How many of the divisors of N are {desc}?", "N is the least number that has exactly {k_d_up} positive divisors. Count the divisors of N that are {desc}."],
         "smallest between 60 and 2520 and gold >= 3", {"desc": _DESC}, (["prime_power_divisors", "constrained_divisor_count"], "num_pool", "smallest"),
     ),
     "complex_modulus_power": Recipe(
@@ -115,13 +120,13 @@ RECIPES = {
         "size(filter(array(3, 5, 7, 11, 13, 17, 19, 23), p -> k_n % p = 0)) >= 3 and gold >= 15",
     ),
     "inclusion_exclusion_3set": Recipe(
-        f"k_U div a + k_U div b + k_U div c - k_U div {_LCM('a', 'b')} - k_U div {_LCM('a', 'c')} - k_U div {_LCM('b', 'c')} + k_U div abc", ["How many integers from 1 to {k_U} are divisible by {a}, {b}, or {c}?", "Of the numbers 1 to {k_U}, how many are divisible by {a}, {b} or {c}?"], "gold >= 10",
+        f"k_u_up div a + k_u_up div b + k_u_up div c - k_u_up div {_LCM('a', 'b')} - k_u_up div {_LCM('a', 'c')} - k_u_up div {_LCM('b', 'c')} + k_u_up div abc", ["How many integers from 1 to {k_u_up} are divisible by {a}, {b}, or {c}?", "Of the numbers 1 to {k_u_up}, how many are divisible by {a}, {b} or {c}?"], "gold >= 10",
         {"a": "k_divisor_triples_0", "b": "k_divisor_triples_1", "c": "k_divisor_triples_2", "ab": _LCM("a", "b"), "abc": _LCM("ab", "c")},
     ),
     "log_laws": Recipe("k_e1 + k_e2 - k_e3", ["Find log_{k_base}({k_base}^{k_e1}) + log_{k_base}({k_base}^{k_e2}) - log_{k_base}({k_base}^{k_e3}).", "Compute log_{k_base}({k_base}^{k_e1} · {k_base}^{k_e2} / {k_base}^{k_e3})."]),
     "modular_exponent": Recipe(power_sql("k_a", "k_e", "k_m"), ["What is the remainder when {k_a}^{k_e} is divided by {k_m}?", "Evaluate {k_a}^{k_e} modulo {k_m}."], "gold >= 5"),
-    "ordered_triple_constraint": Recipe(_TRIPLES("k_N"), ["How many triples of integers with 0≤a<b<c satisfy a+b+c={k_N}?", "How many integer triples 0≤a<b<c sum to {k_N}?"], "gold >= 5"),
-    "prime_power_divisors": Recipe("smallest", ["What is the smallest positive integer with exactly {k_D} positive divisors?", "Find the least number that has exactly {k_D} positive divisors."]),
+    "ordered_triple_constraint": Recipe(_TRIPLES("k_n_up"), ["How many triples of integers with 0≤a<b<c satisfy a+b+c={k_n_up}?", "How many integer triples 0≤a<b<c sum to {k_n_up}?"], "gold >= 5"),
+    "prime_power_divisors": Recipe("smallest", ["What is the smallest positive integer with exactly {k_d_up} positive divisors?", "Find the least number that has exactly {k_d_up} positive divisors."]),
     "triangular_filter_count": Recipe(
         "size(filter(sequence(1L, cast(sqrt(2 * k_lim) as bigint)), n -> n * (n + 1) div 2 < k_lim and n * (n + 1) div 2 % k_k = 0))", ["How many triangular numbers below {k_lim} are divisible by {k_k}?", "Count the triangular numbers under {k_lim} that are multiples of {k_k}."], "gold >= 3",
     ),
@@ -180,13 +185,13 @@ def pool_draw(ids: DataFrame, specs: DataFrame, wanted: int = 3, attempts: int =
     base = rows.withColumn("cond", plain).withColumn("t", F.when(plain == "gt", F.col("knobs")["gt_thresholds"]).when(plain == "lt", F.col("knobs")["lt_thresholds"]).cast("long"))
     base = base.withColumns({f"x{k}": _hash(seed, F.col("concept"), f"x{k}", F.col("id"), F.col("attempt")) for k in (0, 1)})
     counts = specs.where("param = 'D'").select(F.explode(F.from_json("value", "array<bigint>")).alias("n_divisors"))
-    smallest = numbers.by_divisors(counts).select(F.col("n_divisors").alias("k_D"), F.col("smallest").try_cast("long").alias("smallest"))  # a row for each divisor count of the specs
+    smallest = numbers.by_divisors(counts).select(F.col("n_divisors").alias("k_d_up"), F.col("smallest").try_cast("long").alias("smallest"))  # a row for each divisor count of the specs
     for p in sorted({p for c, p, _, _ in SPECS}):
         text = F.col("knobs")[p]
-        base = base.withColumn(f"k_{p}", text.try_cast("long"))
+        base = base.withColumn(_column(p), text.try_cast("long"))
         if p in _LISTS:
-            base = base.withColumns({f"k_{p}_{k}": F.get(F.from_json(text, "array<bigint>"), F.lit(k)) for k in range(3)})
-    base, out = _kept(base.join(F.broadcast(smallest), "k_D", "left"), "drawn"), None
+            base = base.withColumns({f"{_column(p)}_{k}": F.get(F.from_json(text, "array<bigint>"), F.lit(k)) for k in range(3)})
+    base, out = _kept(base.join(F.broadcast(smallest), "k_d_up", "left"), "drawn"), None
     for concept, recipe in RECIPES.items():
         part = base.where(F.col("concept") == concept)
         for name, sql in recipe.values.items():
