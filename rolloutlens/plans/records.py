@@ -161,7 +161,7 @@ _ZONES = ("too_hard", "borderline", "goldilocks", "too_easy")
 
 
 def calib_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report by concept and, with a null concept, over all: sizes, zone shares, count histogram, truncation, survival of the pool, ghosts, failures."""
+    """The report by concept and, with a null concept, over all: sizes, zone shares, count histogram, truncation, ghosts, failures; the base arm only (both arms, survival and knobs are in calib_report_full)."""
     graded, calib = _frame(spark, sf_dir, "graded").where("arm = 'base'"), _frame(spark, sf_dir, "calib").where("arm = 'base'")
     zones = calib.groupBy("concept").agg(F.count("*").alias("n"), *[F.count_if(F.col("zone") == z).alias(z) for z in _ZONES], F.count_if((F.col("correct") == 0) | (F.col("correct") == F.col("n"))).alias("ghosts"), F.sum("pass_rate").alias("rate"))
     hist = calib.groupBy("concept", "correct").agg(F.count("*").alias("c")).groupBy("concept").agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.struct("correct", F.concat("correct", F.lit(":"), "c").alias("t"))))["t"]).alias("hist"))

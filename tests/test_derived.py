@@ -4,10 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from rolloutlens.plans import calibration, chains, compare, derived, difficulty, entities, golds, pools, records, training
+from rolloutlens.plans import calibration, campaigns, chains, compare, derived, difficulty, entities, golds, pools, records, training
 
 SF = "/root/testdata/sf0.001"
-PAIRS = derived.QUERIES | entities.QUERIES | compare.QUERIES | golds.QUERIES | chains.QUERIES | records.QUERIES | training.QUERIES | difficulty.QUERIES | calibration.QUERIES | pools.QUERIES
+PAIRS = derived.QUERIES | entities.QUERIES | compare.QUERIES | golds.QUERIES | chains.QUERIES | records.QUERIES | training.QUERIES | difficulty.QUERIES | calibration.QUERIES | pools.QUERIES | campaigns.QUERIES
 NAMES = sorted(k for k, (_, sql) in PAIRS.items() if sql)
 
 
