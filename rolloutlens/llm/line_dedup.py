@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
-from rolloutlens.llm.common import NULL_ID, ngrams, slices, word_hashes, written
+from rolloutlens.llm.common import NULL_ID, drop_files, ngrams, own_shuffles_dropped, slices, word_hashes, written
 
 #: Lines that the rolling hash spans, one line in so many ends a chunk, and lines of a chunk at least.
 SPAN, DIVISOR, LEAST_LINES = 2, 3, 2
@@ -177,7 +177,8 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` with repeated passages cut out of text, and n_lines, n_removed_lines, n_removed_chunks (runs of removed lines).
 
     A window goes if an equal one comes before it, by document and place, and doesn't overlap it; so the first copy of each line stays.
-    Copied chunks go first, as in line_dedup; the windows of all other lines are compared one by one.
+    Copied chunks go first, as in line_dedup; the windows of all other lines are compared one by one. Each write deletes its own shuffle
+    files, so one shuffle of the texts at a time is on disk, and tables that nothing reads any more are deleted.
     Nulls, repeated rows and line feeds are as in line_dedup. Blank lines go only between removed lines.
     """
     docs = docs.drop(*_ADDED)
@@ -186,17 +187,20 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("other"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("th", F.xxhash64("text"))
     slim = rows.select("did", "th", "text")
-    cuts = written(slim.where(F.contains("text", F.lit("\n"))).mapInArrow(_cuts, "did long, th long, first int, chunk int, key long, chunk_key binary"), "line-cuts")
-    named = cuts.where("chunk_key is not null").select("did", "th", "chunk", F.col("chunk_key").alias("key"))
-    copies = written(chunk_copies(slim, named), "chunk-copies")
-    keys = cuts.join(copies, ["did", "th", "chunk"], "left_anti").select("did", "th", "first", "key")
-    repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    suspects = keys.join(repeated, "key").groupBy("did", "th").agg(F.collect_set("first").alias("firsts"))
-    bodies = written(slim.join(suspects, ["did", "th"]).mapInArrow(_window_bodies, "did long, th long, first int, end int, body binary"), "window-bodies")
-    kept = bodies.groupBy("body").agg(F.min(F.struct("did", "th", "first", "end")).alias("kept"))
-    same = (F.col("did") == F.col("kept.did")) & (F.col("th") == F.col("kept.th"))
-    grown = bodies.join(kept, "body").where(~same | (F.col("first") >= F.col("kept.end"))).select("did", "th", "first", "end")
-    gone = grown.unionAll(copies.select("did", "th", "first", "end")).groupBy("did", "th").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
+    with own_shuffles_dropped(docs.sparkSession):
+        cuts = written(slim.where(F.contains("text", F.lit("\n"))).mapInArrow(_cuts, "did long, th long, first int, chunk int, key long, chunk_key binary"), "line-cuts")
+        named = cuts.where("chunk_key is not null").select("did", "th", "chunk", F.col("chunk_key").alias("key"))
+        copies = written(chunk_copies(slim, named), "chunk-copies")
+        keys = cuts.join(copies, ["did", "th", "chunk"], "left_anti").select("did", "th", "first", "key")
+        repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        suspects = keys.join(repeated, "key").groupBy("did", "th").agg(F.collect_set("first").alias("firsts"))
+        bodies = written(slim.join(suspects, ["did", "th"]).mapInArrow(_window_bodies, "did long, th long, first int, end int, body binary"), "window-bodies")
+        kept = bodies.groupBy("body").agg(F.min(F.struct("did", "th", "first", "end")).alias("kept"))
+        same = (F.col("did") == F.col("kept.did")) & (F.col("th") == F.col("kept.th"))
+        grown = bodies.join(kept, "body").where(~same | (F.col("first") >= F.col("kept.end"))).select("did", "th", "first", "end")
+        gone = written(grown.unionAll(copies.select("did", "th", "first", "end")).groupBy("did", "th").agg(F.collect_set(F.struct("first", "end")).alias("gone")), "gone")
+    drop_files(docs.sparkSession, cuts)
     schema = _schema(rows.schema["other"].dataType)
-    done = rows.join(gone, ["did", "th"], "left").select("other", "text", "gone").mapInArrow(_without, schema)
+    # merged at every size: no broadcast that grows with the corpus
+    done = rows.join(gone.hint("merge"), ["did", "th"], "left").select("other", "text", "gone").mapInArrow(_without, schema)
     return done.select(*[F.col("other").getField(c).alias(c) if c != "text" else F.col("text") for c in docs.columns], *_ADDED)

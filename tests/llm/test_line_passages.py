@@ -1,6 +1,7 @@
 """The line stage of the pipeline and op3 against plain Python: copied chunks by the rolling hash first, then the windows of all other lines."""
 
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -74,3 +75,19 @@ def test_all_repeated_windows_go_beside_the_chunks(spark, texts):
     # chunks alone leave some of these lines in place
     alone = line_dedup.line_dedup(docs).agg(F.sum("n_removed_lines")).first()[0]
     assert 0 < alone < sum(n for _, n in _left(texts))
+
+
+def test_no_shuffle_of_an_earlier_step_stays_on_disk(spark, texts):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = list(env.blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {str(p) for f in folders for p in Path(f).rglob("shuffle_*")}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    before, tables = shuffled(), _files(spark)
+    done = line_dedup.passage_dedup(docs)
+    for _ in range(20):
+        if shuffled() <= before:
+            break
+        time.sleep(0.5)
+    assert shuffled() <= before
+    assert "line-cuts" not in {p.name.rpartition("-")[0] for p in _files(spark) - tables}
+    assert done.count() == len(texts)
