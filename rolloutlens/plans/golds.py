@@ -160,18 +160,20 @@ def examples(spark: SparkSession, sf_dir: str, most: int = 25) -> DataFrame:
 _EXAMPLES_SQL = f"select row_id, concept, answer, recomputed from ({_GOLDS_STORED}) g where recomputed is not null and (answer = 'n/a' or cast(recomputed as string) <> answer) order by row_id limit 25"
 
 
+#: The number a of a row in 128 bits: products with it pass 64 bits, the squares from keys of some 300,000 on.
+_WIDE = "cast(a as decimal(19, 0))"
 #: Texts over long numbers, made of the numbers a, b and c of a row; the oracle has 128 bits.
 _LONG = {
     "custom_binary_op": (_text("Let x#y = x+y+xy. Find ((", "=a + 100000", "#", "=b + 200000", ")#", "=c + 300000", ")#", "=a + 400000", "."), "(a + 100001)::hugeint * (b + 200001) * (c + 300001) * (a + 400001) - 1"),
-    "alternating_cubes": (_text("Find -1^3 + 2^3 - ... up to ", "=2 * (a * 100003 + b)", " cubed."), "(a * 100003 + b)::hugeint * (a * 100003 + b) * (4 * (a * 100003 + b) + 3)"),
+    "alternating_cubes": (_text("Find -1^3 + 2^3 - ... up to ", f"=2 * ({_WIDE} * 100003 + b)", " cubed."), "(a * 100003 + b)::hugeint * (a * 100003 + b) * (4 * (a * 100003 + b) + 3)"),
     "complex_eq_solcount": (_text("How many complex numbers satisfy z^", "=a + 1", "000000000000000000000 = conj(z)?"), "(a + 1) * 1000000000000000000000::hugeint + 2"),
     # divisors of 2^i 3^j 5^k 7^l: all, and the odd ones
     "constrained_divisor_count": (_text("How many positive divisors of ", "=shiftleft(1L, a % 12 + 1) * case b % 4 when 0 then 1L when 1 then 3L when 2 then 9L else 27L end * case c % 3 when 0 then 1L when 1 then 5L else 25L end * 2401L", " are odd?"), "((b % 4 + 1) * (c % 3 + 1) * 5)::hugeint"),
     "divisor_sum_filter": (_text("Add up the odd divisors of ", "=shiftleft(1L, a % 12 + 1) * case b % 4 when 0 then 1L when 1 then 3L when 2 then 9L else 27L end * 823543L", "."), "((case b % 4 when 0 then 1 when 1 then 4 when 2 then 13 else 40 end) * 960800)::hugeint"),
     "prime_power_divisors": (_text("What is the smallest whole number with exactly ", "=case a % 8 when 0 then 13 when 1 then 17 when 2 then 19 when 3 then 23 when 4 then 43 when 5 then 61 when 6 then 67 else 101 end", " positive divisors?"), "power(2::hugeint, case a % 8 when 0 then 12 when 1 then 16 when 2 then 18 when 3 then 22 when 4 then 42 when 5 then 60 when 6 then 66 else 100 end)::hugeint"),
     "modular_exponent": (_text("What remains when ", "=a % 1000 + 2", "^1099511627776 is divided by ", "=b + 3", "?"), "list_reduce(list_prepend((a % 1000 + 2)::hugeint % (b + 3), range(0, 40)::hugeint[]), lambda s, x: s * s % (b + 3))"),
-    "ordered_triple_constraint": (_text("How many triples a<b<c sum to ", "=a * 1000000007 + b", "?"), "((a * 1000000007 + b)::hugeint * (a * 1000000007 + b) + 6) // 12"),
-    "perfect_square_divisible": (_text("How many squares below ", "=(a + 5) * (a + 5) * 100000000L", " are multiples of ", "=72", "?"), "((a + 5)::hugeint * 10000 - 1) // 12"),
+    "ordered_triple_constraint": (_text("How many triples a<b<c sum to ", f"={_WIDE} * 1000000007 + b", "?"), "((a * 1000000007 + b)::hugeint * (a * 1000000007 + b) + 6) // 12"),
+    "perfect_square_divisible": (_text("How many squares below ", f"=({_WIDE} + 5) * ({_WIDE} + 5)", "00000000 are multiples of ", "=72", "?"), "((a + 5)::hugeint * 10000 - 1) // 12"),
     "modular_exponent_by_zero": (_text("What remains when ", "=a", "^", "=b", " is divided by 0?"), "null::hugeint"),
 }
 _LONG_NUMBERS = "select p_partkey as row_id, p_partkey as a, p_size + p_partkey % 13 as b, p_partkey % 31 + 3 * p_size as c, p_partkey % {n} as k from @part".format(n=len(_LONG))

@@ -149,3 +149,14 @@ def test_bands(spark):
     rows = spark.createDataFrame([(c,) for c in (0, 1, 2, 6, 7, 8, 12, 13)], "c int")
     assert [r[0] for r in rows.select(difficulty.band(F.col("c"), 2, 6)).collect()] == ["hard", "hard", "sweet", "sweet", "easy", "easy", "easy", "easy"]
     assert [r[0] for r in rows.select(difficulty.band(F.col("c"), 2, 12)).collect()] == ["hard", "hard", "sweet", "sweet", "sweet", "sweet", "sweet", "easy"]
+
+
+def test_long_texts_of_keys_whose_squares_pass_64_bits(spark, tmp_path):
+    keys = [0, 8, 303_698, 303_700, 1_199_998, 1_199_991, 1_199_997, 3_100_000_008, 10_000_000_007, 3_100_000_001, None]
+    rows = [(k, 7) for k in keys for _ in range(2)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r["row_id"], r["digits"], r["reason"]) for r in golds.recompute_long(spark, str(tmp_path)).collect()}
+    b = lambda a: 7 + a % 13
+    value = {0: lambda a: (a + 100001) * (b(a) + 200001) * (a % 31 + 21 + 300001) * (a + 400001) - 1, 1: lambda a: (n := a * 100003 + b(a)) * n * (4 * n + 3), 7: lambda a: ((a * 1000000007 + b(a)) ** 2 + 6) // 12, 8: lambda a: ((a + 5) * 10**4 - 1) // 12}
+    told = lambda k, v: (k, str(v), "-" if v < 2**63 else "overflow")
+    assert got == {told(k, value[k % 10](k)) for k in keys if k is not None} | {(None, "-", "unknown_concept")}
