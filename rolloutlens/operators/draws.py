@@ -6,15 +6,15 @@ A draw depends on the seed, the concept, the knob, the id and the attempt only,
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloutlens.functions import numbers
 from rolloutlens.functions.numbers import gcd_sql, power_sql
-from rolloutlens.sources.files import scratch
 
 _POOL = [360, 420, 480, 504, 540, 600, 630, 660, 720, 756, 792, 840, 900, 924, 960, 990, 1008, 1080, 1120, 1152, 1260, 1320, 1440, 1560, 1680, 1800, 1980, 2100, 2520]
 _GT, _LT = [6, 8, 10, 12, 15, 20, 24, 30], [15, 20, 24, 30, 40, 50, 60]
@@ -60,12 +60,17 @@ SPECS = [
 
 
 def _column(param: str) -> str:
-    """The column of a knob; names of columns don't tell N from n."""
+    """A formula's name for a knob; such names don't tell N from n."""
     return f"k_{param}" if param.islower() else f"k_{param.lower()}_up"
 
 
+def _divisors(n: str) -> str:
+    """All divisors: those up to the root of n and their counterparts."""
+    return f"flatten(transform(filter(sequence(1L, cast(sqrt({n}) as bigint)), d -> {n} % d = 0), d -> if(d * d = {n}, array(d), array(d, {n} div d))))"
+
+
 def _clause_count(n: str) -> str:
-    return f"size(filter(sequence(1L, {n}), d -> {n} % d = 0 and case cond when 'odd' then d % 2 = 1 when 'gt' then d > t else d < t end))"
+    return f"size(filter({_divisors(n)}, d -> case cond when 'odd' then d % 2 = 1 when 'gt' then d > t else d < t end))"
 
 
 _TRIPLES = "({0} * {0} + 6) div 12".format
@@ -91,7 +96,7 @@ class Recipe:
     chain: tuple[list[str], str, str] | None = None
 
 
-#: Knobs are columns k_name (numbers; k_n_up for N) and cond, t; x0 and x1 are further draws; smallest is the smallest number with D divisors.
+#: Knobs are named k_name (numbers; k_n_up for N) and cond, t; x0 and x1 are further draws; smallest is the smallest number with D divisors.
 RECIPES = {
     "chain_constrained_divisor_count__modular_exponent": Recipe(
         power_sql("k_a", "e", "k_m"), ["Let e be the number of positive divisors of {k_num_pool} that are {desc}. What is the remainder when {k_a}^e is divided by {k_m}?", "Suppose e counts the positive divisors of {k_num_pool} that are {desc}. Compute {k_a}^e mod {k_m}."],
@@ -116,7 +121,7 @@ RECIPES = {
         ["How many 3-element subsets of {{1,...,{k_n}}} have a sum with remainder {r} when divided by {k_mod}?", "How many size-3 subsets of the first {k_n} positive integers have a sum ≡ {r} (mod {k_mod})?"], "gold >= 5", {"r": "x0 % k_mod"},
     ),
     "divisor_sum_filter": Recipe(
-        "aggregate(filter(sequence(1L, k_n), d -> k_n % d = 0 and (d % 2 = 1) = (cond = 'odd')), 0L, (s, d) -> s + d)", ["What is the sum of the {cond} positive divisors of {k_n}?", "Add up all {cond} divisors of {k_n}."],
+        f"aggregate(filter({_divisors('k_n')}, d -> (d % 2 = 1) = (cond = 'odd')), 0L, (s, d) -> s + d)", ["What is the sum of the {cond} positive divisors of {k_n}?", "Add up all {cond} divisors of {k_n}."],
         "size(filter(array(3, 5, 7, 11, 13, 17, 19, 23), p -> k_n % p = 0)) >= 3 and gold >= 15",
     ),
     "inclusion_exclusion_3set": Recipe(
@@ -138,69 +143,79 @@ def spec_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, p, t, json.dumps(v)) for c, p, t, v in SPECS], "concept string, param string, type string, value string")
 
 
-def _hash(seed: int, *parts: Column | str) -> Column:
-    text = F.concat_ws(":", F.lit(seed), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def _hash(seed: int, what: str) -> str:
+    """A number of 32 bits for a draw of ``what`` (SQL) by the id and attempt of a row's concept."""
+    return f"cast(conv(substring(md5(concat_ws(':', '{int(seed)}', concept, {what}, cast(id as string), cast(attempt as string))), 1, 8), 16, 10) as bigint)"
 
 
-def _text(wording: str) -> Column:
+def _text(wording: str) -> str:
     """A wording with the values of the names in its braces; doubled braces stand for themselves."""
     pieces = [(text, name) for text, name, _, _ in Formatter().parse(wording)]
-    return F.concat(*[c for text, name in pieces for c in (F.lit(text), *([F.col(name).cast("string")] if name else []))])
-
-
-def drawn_knobs(ids: DataFrame, specs: DataFrame, attempts: int, seed: int) -> DataFrame:
-    """(id, concept, attempt, knobs): for rows (id, concept) and each attempt one value for every knob of the concept, a map of JSON values.
-
-    randint: a whole number from the first to the second value; choice: one of the values; const: the value itself. A concept without a spec has no rows.
-    """
-    lists = F.from_json("value", "array<string>")
-    by_concept = specs.groupBy("concept").agg(F.sort_array(F.collect_list(F.struct("param", "type", "value", lists.alias("options")))).alias("params"))  # a row for each concept, a knob each
-    rows = ids.join(F.broadcast(by_concept), "concept").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    return "concat(" + ", ".join(c for text, name in pieces for c in (f"'{text}'", *([f"cast({name} as string)"] if name else []))) + ")"
+
+
+def _let(values: dict[str, str], body: str) -> str:
+    """``body`` with names for values, each found once; a value may use those named before it."""
+    for name, value in reversed(values.items()):
+        body = f"get(transform(array({value}), {name} -> {body}), 0)"
+    return body
+
+
+#: A drawn problem.
+_DRAW = "struct<problem: string, answer: string, knobs: map<string, string>, fed_value: bigint>"
+_KNOB = """case when p.type = 'randint' then cast(p.low + {0} % (p.high - p.low + 1) as string) when p.type = 'choice' then get(p.options, cast({0} % greatest(size(p.options), 1) as int)) else p.value end"""
+
+
+def _drawn(recipe: Recipe, seed: int) -> str:
+    """SQL of a draw by a recipe, null where the guard refuses it; over id, concept, attempt, params (a struct for each knob) and smallest_of (the smallest number by its count of divisors)."""
+    knobs = f"map_from_entries(transform(params, p -> struct(p.param, {_KNOB.format(_hash(seed, 'p.param'))})))"
+    threshold = "cast(case cond when 'gt' then knobs['gt_thresholds'] when 'lt' then knobs['lt_thresholds'] end as bigint)"
+    named = {"knobs": knobs, "cond": "trim(knobs['cond'])", "t": threshold, **{f"x{k}": _hash(seed, f"'x{k}'") for k in (0, 1)}}
+    for param in sorted({p for _, p, _, _ in SPECS}):
+        named[_column(param)] = f"try_cast(knobs['{param}'] as bigint)"
+        if param in _LISTS:
+            named[f"_{param}"] = f"from_json(knobs['{param}'], 'array<bigint>')"
+            named |= {f"{_column(param)}_{k}": f"get(_{param}, {k})" for k in range(3)}
+    named["smallest"] = "try_element_at(smallest_of, k_d_up)"
+    named |= recipe.values | {"gold": f"cast({recipe.gold} as bigint)"}
+    used = "map_filter(knobs, (k, v) -> k not in ('gt_thresholds', 'lt_thresholds') or k = concat(coalesce(cond, ''), '_thresholds'))"
+    text = f"case {' '.join(f'when x1 % {len(recipe.texts)} = {k} then {_text(t)}' for k, t in enumerate(recipe.texts))} end"
+    fed = recipe.chain[2] if recipe.chain else "null"
+    body = f"if(gold is not null and ({recipe.guard}), cast(named_struct('problem', {text}, 'answer', cast(gold as string), 'knobs', {used}, 'fed_value', cast({fed} as bigint)) as {_DRAW}), null)"
+    needed, wanted = body, {}
+    for name, value in reversed(named.items()):  # only what is used
+        if re.search(rf"\b{name}\b", needed):
+            wanted, needed = {name: value} | wanted, f"{needed} {value}"
+    return _let(wanted, body)
 
-    def value(p: Column) -> Column:
-        h = _hash(seed, F.col("concept"), p["param"], F.col("id"), F.col("attempt"))
-        low, high = (F.get(p["options"], F.lit(k)).try_cast("long") for k in (0, 1))
-        pick = F.get(p["options"], (h % F.greatest(F.size(p["options"]), F.lit(1))).cast("int"))
-        return F.when(p["type"] == "randint", (low + h % (high - low + 1)).cast("string")).when(p["type"] == "choice", pick).otherwise(p["value"])
 
-    return rows.select("id", "concept", "attempt", F.map_from_entries(F.transform("params", lambda p: F.struct(p["param"], value(p)))).alias("knobs"))
-
-
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written and read again, so that no formula on top draws its numbers anew."""
-    path = scratch(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def spec_table(spark: SparkSession) -> DataFrame:
+    """(concept, param, type, value): value as JSON."""
+    return spark.createDataFrame([(c, p, t, json.dumps(v)) for c, p, t, v in SPECS], "concept string, param string, type string, value string")
 
 
 def pool_draw(ids: DataFrame, specs: DataFrame, wanted: int = 3, attempts: int = 12, seed: int = 42) -> DataFrame:
-    """(id, concept, turn, problem, answer, knobs, components, fed_param, fed_value): of ``attempts`` draws for each row (id, concept) the first ``wanted`` that pass the concept's guard.
+    """(id, concept, problem, answer, knobs, components, fed_param, fed_value, turn): of ``attempts`` draws for each row (id, concept) the first ``wanted`` that pass the concept's guard.
 
-    knobs are those that were used; the last three are null for a concept that isn't composed. Rows of a concept without a recipe or spec give nothing; repeated ids draw alike.
+    A draw has one value for every knob of the concept, as JSON: randint a whole number from the first to the second value, choice one of the values, const the value itself. knobs are those
+    that were used; components, fed_param and fed_value are null for a concept that isn't composed. Rows of a concept without a recipe or spec give nothing; repeated ids draw alike and share
+    their turns. An id's draws are made one after another in its row and end with the last that is wanted, so nothing but the ids is dealt out, over as many tasks as a shuffle has.
     """
     spark = ids.sparkSession
-    rows = _kept(drawn_knobs(ids.where(F.col("concept").isin(*RECIPES)), specs, attempts, seed), "knobs")
-    plain = F.trim(F.col("knobs")["cond"])
-    base = rows.withColumn("cond", plain).withColumn("t", F.when(plain == "gt", F.col("knobs")["gt_thresholds"]).when(plain == "lt", F.col("knobs")["lt_thresholds"]).cast("long"))
-    base = base.withColumns({f"x{k}": _hash(seed, F.col("concept"), f"x{k}", F.col("id"), F.col("attempt")) for k in (0, 1)})
+    lists = specs.withColumn("options", F.from_json("value", "array<string>"))
+    low, high = (F.get("options", F.lit(k)).try_cast("long").alias(n) for k, n in enumerate(("low", "high")))
+    by_concept = lists.groupBy("concept").agg(F.sort_array(F.collect_list(F.struct("param", "type", "value", "options", low, high))).alias("params"))  # a row for each concept, a knob each
     counts = specs.where("param = 'D'").select(F.explode(F.from_json("value", "array<bigint>")).alias("n_divisors"))
-    smallest = numbers.by_divisors(counts).select(F.col("n_divisors").alias("k_d_up"), F.col("smallest").try_cast("long").alias("smallest"))  # a row for each divisor count of the specs
-    for p in sorted({p for c, p, _, _ in SPECS}):
-        text = F.col("knobs")[p]
-        base = base.withColumn(_column(p), text.try_cast("long"))
-        if p in _LISTS:
-            base = base.withColumns({f"{_column(p)}_{k}": F.get(F.from_json(text, "array<bigint>"), F.lit(k)) for k in range(3)})
-    base, out = _kept(base.join(F.broadcast(smallest), "k_d_up", "left"), "drawn"), None
-    for concept, recipe in RECIPES.items():
-        part = base.where(F.col("concept") == concept)
-        for name, sql in recipe.values.items():
-            part = part.withColumn(name, F.expr(sql))
-        part = part.withColumn("gold", F.expr(recipe.gold).cast("long")).where(f"gold is not null and ({recipe.guard})")
-        wording = F.coalesce(*[F.when(F.col("x1") % len(recipe.texts) == k, _text(t)) for k, t in enumerate(recipe.texts)])
-        used = F.map_filter("knobs", lambda k, v: ~k.isin("gt_thresholds", "lt_thresholds") | (k == F.concat(F.coalesce("cond", F.lit("")), F.lit("_thresholds"))))
-        chain = recipe.chain or (None, None, "null")
-        part = part.select("id", "concept", "attempt", wording.alias("problem"), F.col("gold").cast("string").alias("answer"), used.alias("knobs"), F.lit(chain[0]).cast("array<string>").alias("components") if chain[0] is None else F.array(*map(F.lit, chain[0])).alias("components"), F.lit(chain[1]).cast("string").alias("fed_param"), F.expr(f"cast({chain[2]} as bigint)").alias("fed_value"))
-        out = part if out is None else out.union(part)
-    turn = F.row_number().over(Window.partitionBy("id", "concept").orderBy("attempt"))
-    return out.withColumn("turn", turn).where(F.col("turn") <= wanted).drop("attempt")
+    smallest = numbers.by_divisors(counts).select(F.struct("n_divisors", F.col("smallest").try_cast("long").alias("smallest")).alias("s"))
+    smallest_of = smallest.agg(F.map_from_entries(F.collect_list("s")).alias("smallest_of"))  # an entry for each divisor count of the specs
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = ids.where(F.col("concept").isin(*RECIPES)).select("id", "concept").repartition(n_tasks, "id", "concept").groupBy("id", "concept").agg(F.count("*").alias("copies"))
+    rows = rows.join(F.broadcast(by_concept), "concept").crossJoin(F.broadcast(smallest_of))
+    cases = " ".join(f"when '{concept}' then {_drawn(recipe, seed)}" for concept, recipe in RECIPES.items())
+    passed = f"aggregate(sequence(0, {attempts} - 1), cast(array() as array<{_DRAW}>), (found, attempt) -> if(copies * size(found) >= {wanted}, found, concat(found, array_compact(array(case concept {cases} end)))))"
+    turns = f"transform(filter(sequence(0, {wanted} - 1), k -> k < copies * size(found)), k -> named_struct('r', get(found, cast(k div copies as int)), 'turn', k + 1))"
+    drawn = rows.select("id", "concept", "copies", F.expr(passed).alias("found")).select("id", "concept", F.expr(f"inline({turns})"))
+    chains = {c: r.chain for c, r in RECIPES.items() if r.chain}
+    by_chain = lambda of, kind: F.coalesce(*[F.when(F.col("concept") == c, of(chain)) for c, chain in chains.items()]).cast(kind)
+    parts, fed = by_chain(lambda x: F.array(*map(F.lit, x[0])), "array<string>"), by_chain(lambda x: F.lit(x[1]), "string")
+    return drawn.select("id", "concept", "r.problem", "r.answer", "r.knobs", parts.alias("components"), fed.alias("fed_param"), "r.fed_value", "turn")

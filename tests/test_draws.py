@@ -5,6 +5,8 @@ import json
 from itertools import combinations
 from math import isqrt
 
+from pyspark.sql import functions as F
+
 from rolloutlens.functions.recompute import with_recomputed
 from rolloutlens.operators import draws
 
@@ -100,3 +102,25 @@ def test_draws_equal_plain_python_and_texts_read_back(spark):
     rows = spark.createDataFrame([(r["concept"], r["problem"], r["answer"]) for r in got.values()], "concept string, problem string, answer string")
     for r in with_recomputed(rows).collect():
         assert r["exact"] == r["answer"], (r["concept"], r["problem"], r["answer"], r["exact"], r["reason"])
+
+
+def test_draws_are_dealt_out_and_repeated_ids_share_their_turns(spark):
+    ids = [(i, "log_laws") for i in range(64)] + [(3, "log_laws"), (None, "log_laws"), (None, "log_laws"), (5, None)]
+    table = spark.createDataFrame(ids, "id long, concept string").coalesce(1)
+    specs = draws.spec_table(spark)
+    drawn = draws.pool_draw(table, specs)
+    assert drawn.select(F.spark_partition_id()).distinct().count() > 2
+    got = {}
+    for r in drawn.collect():
+        got.setdefault(r["id"], []).append((r["turn"], r["problem"]))
+    assert {i: len(x) for i, x in got.items()} == {i: 3 for i in (*range(64), None)}
+    once = {r["turn"]: r["problem"] for r in draws.pool_draw(table.where("id = 3").limit(1), specs).collect()}
+    assert sorted(got[3]) == [(1, once[1]), (2, once[1]), (3, once[2])]
+    assert len({p for _, p in got[None]}) == 2
+
+
+def test_a_draw_ends_with_the_last_that_is_wanted(spark):
+    table = spark.createDataFrame([(i, "prime_power_divisors") for i in range(40)], "id long, concept string")
+    specs = draws.spec_table(spark)
+    few = {(r["id"], r["turn"], r["problem"]) for r in draws.pool_draw(table, specs, 3, 3).collect()}
+    assert {(r["id"], r["turn"], r["problem"]) for r in draws.pool_draw(table, specs, 3, 1_000_000).collect()} == few and len(few) == 120
