@@ -5,6 +5,7 @@ What has been seen is kept in Spark's state store, so no job reads its own outpu
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from rolloutlens.sources.files import scratch
 BATCH_FILES = 4
 #: How long after its latest row a timed group stays in the state: it waits for its last rows, or knows late repeats.
 KEEP_MS = 24 * 3600 * 1000
+#: Parts of a stream's groups that Python is called for; a checkpoint goes on with the number it began with.
+BUCKETS = 1024
 
 
 def _stream(spark: SparkSession, path: str) -> DataFrame:
@@ -40,43 +43,68 @@ def grade_stream(spark: SparkSession, rollouts: str, output: str, checkpoint: st
 def complete_groups(stream: DataFrame, keys: list[str], index: str, expected: str, sums: dict[str, Column], time: str | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
     """A row for each group of a stream, told once, when its last row comes: keys, n and the sums of ``sums``, and complete.
 
-    ``expected`` says how many rows a group has, ``index`` (from 0) which one a row is; rows that come again are left out. A group's state is its bits and sums. Null keys make a group;
-    rows without an index or a count are left out. With ``time`` (an event time that has a watermark) a group is dropped ``keep_ms`` after its latest row, and one that isn't full by then is
-    told as it stands, with complete false; without it, states stay.
+    ``expected`` says how many rows a group has, ``index`` (from 0) which one a row is; rows that come again are left out. A group's state is its bits and sums; the states of many groups, dealt
+    by hash into BUCKETS, are one state of Spark's, so Python is called for each bucket and batch, not for each group. Null keys make a group; rows without an index or a count are left out.
+    With ``time`` (an event time that has a watermark) a group is dropped ``keep_ms`` after its latest row, and one that isn't full by then is told as it stands, with complete false; without
+    it, states stay.
     """
     kinds = dict(stream.dtypes)
     when = F.unix_millis(F.col(time)).alias("_t") if time else F.lit(0).cast("long").alias("_t")
-    rows = stream.where((F.col(index) >= 0) & F.col(expected).isNotNull()).select(*keys, *([time] if time else []), F.col(index).cast("long").alias("_i"), F.col(expected).cast("long").alias("_of"), when, *[c.cast("double").alias(f"_{k}") for k, c in sums.items()])
-    names, columns, timed = [f"_{k}" for k in sums], [*keys, "n", *sums, "complete"], time is not None
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bits, told, latest, totals = state.get if state.exists else ("0", False, 0, [0.0] * len(names))
-        seen, totals, wanted = int(bits, 16), list(totals), 0  # bits as text: groups may have more rows than a number has bits
-
-        def row(complete: bool) -> pd.DataFrame:
-            return pd.DataFrame([[*key, seen.bit_count(), *totals, complete]], columns=columns)
-
-        if state.hasTimedOut:
-            state.remove()
-            if not told:
-                yield row(False)
-            return
-        for batch in batches:
-            for i, of, at, *values in batch[["_i", "_of", "_t", *names]].itertuples(index=False):
-                wanted, latest = max(wanted, int(of)), max(latest, int(at))
-                if not seen >> int(i) & 1:
-                    seen |= 1 << int(i)
-                    totals = [t + (0.0 if v != v else v) for t, v in zip(totals, values, strict=True)]
-        done = not told and seen.bit_count() >= wanted
-        state.update((format(seen, "x"), told or done, latest, totals))
+    # pandas makes whole numbers with a null among them floats, so nulls of such keys travel apart
+    whole = [k for k in keys if kinds[k] in ("tinyint", "smallint", "int", "bigint")]
+    sent = [F.coalesce(F.col(k), F.lit(0).cast(kinds[k])).alias(f"_k{n}") if k in whole else F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]
+    nulls = [F.col(k).isNull().alias(f"_null{n}") if k in whole else F.lit(False).alias(f"_null{n}") for n, k in enumerate(keys)]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    rows = stream.where((F.col(index) >= 0) & F.col(expected).isNotNull()).select(
+        bucket, *sent, *nulls, *([time] if time else []), F.col(index).cast("long").alias("_i"), F.col(expected).cast("long").alias("_of"), when, *[c.cast("double").alias(f"_s{n}") for n, c in enumerate(sums.values())]
+    )
+    columns, timed = [*keys, "n", *sums, "complete"], time is not None
+    key_names, null_names, sum_names = ([f"_{x}{n}" for n in range(len(of))] for x, of in (("k", keys), ("null", keys), ("s", sums)))
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # by key: the rows seen as bits (groups may have more rows than a number has), told, the latest time, the sums, when it is dropped
+        groups: dict[tuple, list] = pickle.loads(state.get[0]) if state.exists else {}
+        wanted: dict[tuple, int] = {}
+        told: list[list] = []
+
+        def tell(key: tuple, complete: bool) -> None:
+            told.append([*key, groups[key][0].bit_count(), *groups[key][3], complete])
+
+        for batch in batches if not state.hasTimedOut else ():
+            each = lambda names: zip(*(batch[c].tolist() for c in names), strict=True) if names else ((),) * len(batch)
+            for values, missing, (i, of, at), numbers in zip(each(key_names), each(null_names), each(["_i", "_of", "_t"]), each(sum_names), strict=True):
+                key = tuple(None if m else v for v, m in zip(values, missing, strict=True)) if any(missing) else values
+                group = groups.get(key)
+                if group is None:
+                    group = groups[key] = [0, False, 0, [0.0] * len(sum_names), 0]
+                wanted[key], group[2] = max(wanted.get(key, 0), of), max(group[2], at)
+                if not group[0] >> i & 1:
+                    group[0] |= 1 << i
+                    group[3] = [t + (0.0 if v != v else v) for t, v in zip(group[3], numbers, strict=True)]
+        watermark = state.getCurrentWatermarkMs() if timed else 0
+        for key, of in wanted.items():
+            group = groups[key]
+            if not group[1] and group[0].bit_count() >= of:
+                group[1] = True
+                tell(key, True)
+            group[4] = max(group[2], watermark) + keep_ms
         if timed:
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep_ms)
-        if done:
-            yield row(True)
+            for key in [k for k, g in groups.items() if k not in wanted and g[4] < watermark]:
+                if not groups[key][1]:
+                    tell(key, False)
+                del groups[key]
+        if groups:
+            state.update((pickle.dumps(groups, 5),))
+            if timed:
+                state.setTimeoutTimestamp(max(min(g[4] for g in groups.values()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if told:
+            yield pd.DataFrame({c: pd.Series([r[n] for r in told], dtype=object) for n, c in enumerate(columns)})
 
-    out = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["n long"] + [f"{k} double" for k in sums] + ["complete boolean"])
+    out = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["n long"] + [f"{k} double" for k in sums] + ["complete boolean"])
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*keys).applyInPandasWithState(step, out, "seen string, told boolean, latest long, totals array<double>", "append", timeout)
+    return rows.groupBy("_bucket").applyInPandasWithState(step, out, "groups binary", "append", timeout)
 
 
 def calibrate_stream(spark: SparkSession, rollouts: str, output: str, checkpoint: str) -> None:

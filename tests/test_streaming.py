@@ -100,3 +100,17 @@ def test_trailing_log(spark):
                 want += [(run, s, k, *r[1:]) for k, r in enumerate([r for r in log[run] if r[1] <= s][-10:], 1)]
     assert got == sorted(want)
     assert training.trailing_dumps(spark.createDataFrame([], "run string, step long, seq long, reward double")).count() == 0
+
+
+def test_states_of_many_groups_are_one_state(spark, tmp_path):
+    source, output, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    big = 2**53 + 1  # no float
+    rows = [(big + g, f"s{g % 2}" if g % 3 else None, i, 2, float(g)) for g in range(4000) for i in (0, 1, 1)] + [(None, None, 0, 1, None), (None, "x", 0, 2, 1.0)]
+    spark.createDataFrame(rows, "g long, s string, i long, n_of long, v double").repartition(3).write.parquet(source)
+    groups = jobs.complete_groups(jobs._stream(spark, source), ["g", "s"], "i", "n_of", {"v": F.col("v")})
+    query = groups.writeStream.outputMode("append").format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= jobs.BUCKETS
+    want = {(big + g, f"s{g % 2}" if g % 3 else None, 2, 2.0 * g, True) for g in range(4000)} | {(None, None, 1, 0.0, True)}
+    got = [tuple(r) for r in spark.read.parquet(output).collect()]
+    assert set(got) == want and len(got) == len(want)
