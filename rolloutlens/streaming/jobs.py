@@ -16,8 +16,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rolloutlens.functions import grading
 from rolloutlens.sources.files import scratch
 
-#: Files that a micro-batch takes.
-BATCH_FILES = 4
+#: Bytes of files that a micro-batch takes, one file at least: batches by the number of files would be as many as a table has small files, each with a commit of every part of the state.
+BATCH_BYTES = 1 << 29
+#: Where states are kept: on the executors' disks, with a bound for what an executor has of them in memory. What a session sets itself goes first, and a checkpoint goes on as it began.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+}
 #: How long after its latest row a timed group stays in the state: it waits for its last rows, or knows late repeats.
 KEEP_MS = 24 * 3600 * 1000
 #: Parts of a stream's groups that Python is called for; a checkpoint goes on with the number it began with.
@@ -26,11 +32,20 @@ BUCKETS = 1024
 
 def _stream(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
 
 
 def _to_files(stream: DataFrame, output: str, checkpoint: str) -> None:
-    stream.writeStream.outputMode("append").format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    conf = stream.sparkSession.conf
+    own = [k for k in STATE if conf.get(k, None) is None]
+    for k in own:
+        conf.set(k, STATE[k])
+    try:
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:  # a query keeps the settings that it began with
+        for k in own:
+            conf.unset(k)
+    query.awaitTermination()
 
 
 def grade_stream(spark: SparkSession, rollouts: str, output: str, checkpoint: str) -> None:

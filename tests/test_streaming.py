@@ -114,3 +114,14 @@ def test_states_of_many_groups_are_one_state(spark, tmp_path):
     want = {(big + g, f"s{g % 2}" if g % 3 else None, 2, 2.0 * g, True) for g in range(4000)} | {(None, None, 1, 0.0, True)}
     got = [tuple(r) for r in spark.read.parquet(output).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_small_files_are_one_batch_and_states_are_on_disk(spark, tmp_path):
+    rows = [r for r in _rolls(5) if r[0] is not None and r[3] is not None]
+    source, output, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    spark.createDataFrame(rows, ROLLS).repartition(24).write.parquet(source)
+    jobs.grade_stream(spark, source, output, checkpoint)
+    assert sorted((r["problem_id"], r["arm"], r["rollout_idx"]) for r in spark.read.parquet(output).collect()) == sorted({(r[0], r[1], r[3]) for r in rows})
+    assert [p.name for p in (tmp_path / "check" / "commits").iterdir() if not p.name.startswith(".")] == ["0"]
+    assert "RocksDBStateStoreProvider" in (tmp_path / "check" / "offsets" / "0").read_text()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
